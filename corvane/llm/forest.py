@@ -11,7 +11,8 @@
    class its best neighbour and the region's most linked class.
 4. Candidates are confirmed on full shingle sets and joined to components. Then all other
    candidates across components are confirmed too, so that no link between components is
-   left out, and components are taken again.
+   left out, and components are taken again. Regions dense with such candidates are confirmed
+   as a whole, without making a row for each pair.
 
 Links have 100 * intersection >= 75 * union (by default). With 24 trees of depth 3, a pair at
 0.75 meets in no tree with probability 2e-6; a met pair is passed over if its estimate over
@@ -36,6 +37,10 @@ VALUES = 128
 TREES, DEPTH = 24, 3
 DEEPER = (5, 8, 12, 20, 32)
 CAP = 2048
+#: Ids of 8 bytes that may be sent to all tasks: 32 MB.
+BROADCAST_IDS = 4_000_000
+#: Pairs per class up to which a region's pairs are confirmed one by one.
+DENSE = 4
 _rng = np.random.default_rng(20250701)
 _XOR = _rng.integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(1, 1 << 31, VALUES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -83,7 +88,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sig = np.zeros((end - at, VALUES), np.uint32)
                 if full.any():
                     sig[full] = _signatures(sets, edges)
-                values = _binary(sig.astype("<u4").view(np.uint8).reshape(end - at, VALUES * 4)[:, :])
+                values = _binary((sig & 0xFFFF).astype("<u2").view(np.uint8).reshape(end - at, VALUES * 2))  # 16 bits of each value
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), values], ["id", "n", "d0", "d1", "values"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "id long, n long, d0 long, d1 long, values binary")
@@ -98,7 +103,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, VALUES)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, VALUES).astype(np.uint64)
             prefix = np.empty((len(depths), TREES, n), np.uint64)
             for tree in range(TREES):
                 h = np.full(n, np.uint64(tree + 1))
@@ -158,10 +163,13 @@ def _pairs_in(first: np.ndarray, last: np.ndarray, n: np.ndarray, sig: np.ndarra
 
 
 def candidates(members: DataFrame, least: float, ratio: float, across: bool) -> DataFrame:
-    """(a, b, agree) from rows (region, id, n, values[, component]).
+    """(a, b, agree, hub) from rows (region, id, n, values[, component]).
 
     across False: each class with its best neighbour and with the most linked class of its
-    region. across True: all pairs of differing components. A task holds a region at a time.
+    region; hub is the smaller (1) or larger (2) id of the pair as the most linked one, or 0.
+    across True: of pairs of differing components all where they are few in a region, DENSE for
+    each class; in a denser region its classes that have such pairs, as (a = region, b = id, hub = -1).
+    A task holds a region at a time.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +179,7 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
             if table.num_rows < 2:
                 return
             region, ids, n = (table.column(c).to_numpy() for c in ("region", "id", "n"))
-            sig = (np.frombuffer(b"".join(table.column("values").to_pylist()), "<u4").reshape(len(ids), VALUES) & 0xFFFF).astype(np.uint16)
+            sig = np.frombuffer(b"".join(table.column("values").to_pylist()), "<u2").reshape(len(ids), VALUES)
             edges = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
             last = np.repeat(edges[1:], np.diff(edges))
             i, j, agree = _pairs_in(edges, last, n, sig, least, ratio)
@@ -186,10 +194,26 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
                 def best(*keys):
                     o = np.lexsort((*keys, me))
                     return o[np.concatenate((me[o][1:] != me[o][:-1], [True]))]
-                pick = np.unique(np.concatenate([best(-ids[you], how), best(-ids[you], degree[you])]))
+                near, lead = best(-ids[you], how), best(-ids[you], degree[you])
+                pick = np.concatenate([near, lead])
                 i, j, agree = me[pick], you[pick], how[pick]
+                hub = np.where(np.arange(len(pick)) < len(near), 0, np.where(ids[j] < ids[i], 1, 2)).astype(np.int32)
+            else:
+                hub = np.zeros(len(i), np.int32)
+            names = ["a", "b", "agree", "hub"]
+            if across and len(i):
+                of = np.searchsorted(edges, i, "right") - 1
+                n_pairs = np.bincount(of, minlength=len(edges))
+                row, _ = np.unique(np.concatenate([i, j]), return_counts=True)
+                n_rows = np.bincount(np.searchsorted(edges, row, "right") - 1, minlength=len(edges))
+                dense = n_pairs > DENSE * n_rows
+                row = row[dense[np.searchsorted(edges, row, "right") - 1]]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(region[row]), pa.array(ids[row]), pa.array(np.zeros(len(row), np.int32)), pa.array(np.full(len(row), -1, np.int32))], names)
+                few = ~dense[of]
+                i, j, agree, hub = i[few], j[few], agree[few], hub[few]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(agree.astype(np.int32)), pa.array(hub)], names)
 
         size = 0
         for batch in batches:
@@ -209,13 +233,66 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
     dealt = members.repartition("region").sortWithinPartitions("region", "id")
-    return dealt.mapInArrow(find, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    found = dealt.mapInArrow(find, "a long, b long, agree int, hub int")
+    if across:
+        return found.groupBy("a", "b", "hub").agg(F.max("agree").alias("agree"))
+    return found.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.count_if(F.col("hub") == 1).alias("lead_a"), F.count_if(F.col("hub") == 2).alias("lead_b"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Those of (a, b) with 100 * intersection >= percent * union of full shingle sets.
+def links_in_dense_regions(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links from rows (region, id, component, s), one for each pair of components in a region.
 
-    Sets are made anew for the documents concerned only.
+    Intersections of all sets of a region come from products of 0/1 matrices over the shingles
+    that at least two of them have; nothing is emitted for each pair. Regions have about CAP rows at most.
+    """
+
+    def solve(region: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch | None:
+        ids, comp = np.array([r[0] for r in region]), np.array([r[1] for r in region])
+        size = np.array([len(r[2]) for r in region])
+        values, column, count = np.unique(np.concatenate([r[2] for r in region]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(region)), size)
+        shared_by = count[column] > 1
+        number = np.cumsum(count > 1) - 1
+        row, column = row[shared_by], number[column[shared_by]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(region), len(region)), np.float32)
+        for at in range(0, int((count > 1).sum()), 2048):
+            a, b = np.searchsorted(column, [at, at + 2048])
+            m = np.zeros((len(region), 2048), np.float32)
+            m[row[a:b], column[a:b] - at] = 1
+            common += m @ m.T
+        linked = 100 * common.astype(np.float64) >= percent * (size[:, None] + size[None, :] - common)
+        i, j = np.nonzero(np.triu(linked, 1) & (comp[:, None] != comp[None, :]))
+        if not len(i):
+            return None
+        pair = np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])])
+        _, one = np.unique(pair, axis=1, return_index=True)
+        i, j = i[one], j[one]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        at = None
+        for batch in batches:
+            for region, i, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if region != at and held:
+                    if (out := solve(held)) is not None:
+                        yield out
+                    held = []
+                at = region
+                held.append((i, c, np.frombuffer(s.as_buffer(), "<u8")))
+        if held and (out := solve(held)) is not None:
+            yield out
+
+    rows = members.select("region", "id", "component", "s").repartition("region").sortWithinPartitions("region", "id")
+    return rows.mapInArrow(find, "a long, b long")
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, s): shingle sets of the wanted ids, made anew from their texts.
+
+    Up to BROADCAST_IDS ids go to all scans of the documents; more are joined by a shuffle of the texts.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +303,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
                 values = [sets[edges[k] : edges[k + 1]].astype("<u8").tobytes() for k in range(end - at)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(values, pa.binary())], ["id", "s"])
 
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id", "left_semi")
+    return settle(texts.mapInArrow(scan, "id long, s binary"), "sets").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Those of (a, b) with 100 * intersection >= percent * union of full shingle sets.
+
+    Sets are made anew for the documents concerned only.
+    """
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -239,9 +328,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
             if batch.num_rows:
                 yield batch
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    sets = settle(texts.mapInArrow(scan, "id long, s binary"), "sets").dropDuplicates(["id"])
+    wanted = settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = full_sets(wanted, docs, key, text, width)
     x = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return settle(x.mapInArrow(check, "a long, b long"), "links")
 
@@ -265,15 +353,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     places = settle(regions(head_rows, cap), "regions")
     rows = settle(places.distinct().join(head_rows, "id"), "places")
     pairs = settle(candidates(rows, least, ratio, False), "pairs")
-    # of the pairs of each class, those with the most alike partner and the smallest id of the well alike ones
-    ends = pairs.select(F.col("a").alias("me"), F.col("b").alias("you"), "agree").unionByName(pairs.select(F.col("b").alias("me"), F.col("a").alias("you"), "agree"))
-    chosen = ends.groupBy("me").agg(F.max_by("you", F.struct("agree", -F.col("you"))).alias("x"), F.min(F.when(F.col("agree") >= (percent / 100 - 0.08) * VALUES, F.col("you"))).alias("y"))
-    chosen = chosen.select("me", F.explode(F.array("x", "y")).alias("you")).where("you is not null").select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b")).distinct()
+    # of the pairs of each class: the most alike partner, and the one that most regions have as their most linked class
+    ends = pairs.select(F.col("a").alias("me"), F.col("b").alias("you"), "agree", F.col("lead_b").alias("lead")).unionByName(pairs.select(F.col("b").alias("me"), F.col("a").alias("you"), "agree", F.col("lead_a").alias("lead")))
+    chosen = ends.groupBy("me").agg(F.max_by("you", F.struct("agree", -F.col("you"))).alias("x"), F.max_by("you", F.struct("lead", "agree", -F.col("you"))).alias("y"))
+    chosen = chosen.select("me", F.explode(F.array("x", "y")).alias("you")).select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b")).distinct()
     links = confirm(settle(chosen, "chosen"), docs, key, text, width, percent)
     comp = settle(components(links), "components")
     labelled = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = settle(candidates(labelled, least, ratio, True), "rest")
-    more = confirm(rest, docs, key, text, width, percent)
+    more = confirm(rest.where("hub >= 0").select("a", "b").distinct(), docs, key, text, width, percent)
+    dense = rest.where("hub < 0").select(F.col("a").alias("region"), F.col("b").alias("id"))
+    if not dense.isEmpty():
+        sets = full_sets(settle(dense.select("id").distinct(), "wanted"), docs, key, text, width)
+        known = comp.select(F.col("node").alias("id"), "component")
+        crowd = dense.join(sets, "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = more.unionByName(settle(links_in_dense_regions(crowd, percent), "dense-links"))
     comp = settle(components(links.unionByName(more)), "components")
     label = member.join(comp, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("c"))
     return prints.select("id", "n").join(label, "id", "left").select(
