@@ -5,7 +5,7 @@ of later ones. In training they come from models that have not seen the row (out
 
 Features are presences in a text: words (A-Z lower-cased, runs of digits, a-z and non-ASCII)
 and their beginnings of 3 to 7 bytes, hashed to 2 ** HASH_BITS numbers. For each category the
-FEATURES numbers that tell the classes apart most are used.
+FEATURES numbers that are the clearest signs of it are used.
 
 Models are fitted on at most SAMPLE labelled rows, those of the smallest hash of their key.
 Scoring covers all rows and whole texts, without a shuffle.
@@ -28,6 +28,8 @@ FEATURES = 384
 SAMPLE = 20_000
 FOLDS = 3
 LEAST_SEEN = 4
+#: Used features are signs of the category: this far beyond chance, and this many times as common in it.
+LEAST_Z, LIFT = 4.5, 3
 #: Fixed words that split labelled toxic texts into weak categories.
 INSULT = ("clown", "dumb", "fool", "idiot", "loser", "moron", "stupid")
 CONTEMPT = ("disgusting", "filth", "garbage", "pathetic", "scum", "trash", "worthless")
@@ -115,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
         pos, neg = totals[1 + c], n - totals[1 + c]
         a, b = F.col(f"a{c}"), F.col("n") - F.col(f"a{c}")
         z = (a / max(pos, 1) - b / max(neg, 1)) / F.sqrt(F.greatest(F.col("n") / max(n, 1) * (1 - F.col("n") / (n + 1)), F.lit(1e-12)) * (1 / max(pos, 1) + 1 / max(neg, 1)))
-        top = counts.where(F.col("n") >= LEAST_SEEN).orderBy(F.abs(z).desc(), "f").limit(FEATURES)
+        lift = a * max(neg, 1) >= LIFT * b * max(pos, 1)
+        top = counts.where((F.col("n") >= LEAST_SEEN) & (z >= LEAST_Z) & lift).orderBy(z.desc(), "f").limit(FEATURES)
         chain.numbers.append(np.array(sorted(r.f for r in top.select("f").collect()), np.int64))
     place, size = chain.table()
 
