@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A null, empty or blank
     text has no shingles and is its own component. Rows that repeat an id with the same text
-    are one class; ids must otherwise be unique. A null id is its own component, null, and kept.
+    are one class; rows that repeat an id with other texts all get the smallest of its components, and one
+    of the texts counts for its links. A null id is its own component, null, and kept.
     """
     prints = settle(fingerprints(docs, key, text, width), "prints")
     full = prints.where("n > 0 and id is not null")
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         crowd = dense.join(sets, "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         more = more.unionByName(settle(links_in_dense_regions(crowd, percent), "dense-links"))
     comp = settle(components(links.unionByName(more)), "components")
-    label = member.join(comp, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("c"))
+    label = member.join(comp, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
     return prints.select("id", "n").join(label, "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.coalesce("c", "id") == F.col("id"), F.lit(True)).alias("kept")
     )
