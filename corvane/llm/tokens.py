@@ -92,6 +92,7 @@ def length_histogram(lengths: DataFrame, bin_bits: int = 10) -> DataFrame:
     """
     # the exchange by length carries counts only: partial counts are made before it
     counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("bin", F.shiftright("length", bin_bits))
+    counts = shared.settle(counts, "lengths")  # both levels read it: texts are encoded once
     bins = counts.groupBy("bin").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     whole = Window.partitionBy(F.lit(0)).orderBy("bin")
     bins = bins.select(
