@@ -1,17 +1,20 @@
 """Token ids: encoding whole texts, exact length histograms, and a binary id format.
 
 A null or empty text has no ids but the end id. Texts are cut at ASCII white space, which
-the word-level vocabulary drops, and each distinct piece is encoded once by the tokenizers
-library in each worker; the ids of a text are those of its pieces in order. A vocabulary
-whose pieces depend on white space must be used with whole=True, which encodes whole texts.
+the word-level vocabulary drops, pieces further where it does, and each distinct part is
+encoded once by the tokenizers library in each worker while the bounded caches hold it; the
+ids of a text are those of its parts in order. Any other vocabulary must be used with
+whole=True, which encodes whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +25,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm import rangecoder, shared
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
 LANES, LEAST_BLOCK, MOST_BLOCK = 4096, 256, 4096
-_ASCII_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+_LOWER = {upper: upper + 32 for upper in range(65, 91)}
+# What the word-level vocabulary takes apart by itself: runs of letters, single digits, runs of other characters.
+_ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+# Latin letters and digits that neither NFC nor lower case take apart (not U+0130), before closing ASCII marks but the apostrophe.
+_WORD_AND_MARKS = re.compile(r"([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class TokenEncoder:
@@ -36,17 +43,54 @@ class TokenEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.whole = whole
+        words = self.library.get_vocab()
+        self.word_end = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.word_end[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.tokens: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, tokens: list[str]) -> list[bytes]:
+        """Ids of parts that are one token each before merging, by one call: each ends with an id of a word's end."""
+        ids = np.array(self.library.encode(" ".join(tokens), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
+        if len(ends) != len(tokens):
+            return self._library(tokens)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, from those of their parts where the cuts are sure to be the tokenizer's own."""
+        tokens, cut, single = self.tokens, [], {}
+        for x in new:
+            if "'" in x or "<|" in x:
+                cut.append([x])
+            elif x.isascii():
+                cut.append(parts := _ASCII_PARTS.findall(x.lower()))
+                single.update(dict.fromkeys(parts))
+            else:
+                m = _WORD_AND_MARKS.fullmatch(x)
+                cut.append([x] if m is None else [m[1].translate(_LOWER), m[2]])
+        if len(tokens) > CACHED_PIECES:
+            tokens.clear()
+        if single := [p for p in single if p not in tokens]:
+            tokens.update(zip(single, self._single(single), strict=True))
+        if others := list({p: None for c in cut for p in c if p not in tokens}):
+            tokens.update(zip(others, self._library(others), strict=True))
+        for x, c in zip(new, cut, strict=True):
+            self.known[x] = tokens[c[0]] if len(c) == 1 else b"".join([tokens[p] for p in c])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.whole:
             return self._library([text])[0]
-        pieces = text.translate(_ASCII_SPACE).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+        for space in "\n\t\r\x0b\x0c":
+            if space in text:
+                text = text.replace(space, " ")
+        pieces = text.split(" ")
         known = self.known
         try:
             return b"".join([known[x] for x in pieces])
@@ -54,8 +98,7 @@ class TokenEncoder:
             if len(known) > CACHED_PIECES:
                 known.clear()
                 known[""] = b""
-            new = [x for x in dict.fromkeys(pieces) if x not in known]
-            known.update(zip(new, self._library(new), strict=True))
+            self._learn([x for x in dict.fromkeys(pieces) if x not in known])
             return b"".join([known[x] for x in pieces])
 
 
