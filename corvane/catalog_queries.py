@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import evaluation, fusion, retrieval
+from corvane.operators import evaluation, expansion, fusion, ranking, retrieval
 from corvane.sources.catalog import GENERATORS, instances, raw_hits, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -726,3 +726,78 @@ def g34_clarified_rerun(spark, d):
     said = F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", F.left("text", F.lit(20)).alias("x")))))
     x = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), said.alias("s"))
     return x.select("conv_id", "turns", F.nullif(F.array_join(F.transform("s", lambda v: v["x"]), " / "), F.lit("")).alias("clarified"))
+
+
+# --- gates, suitability, expansion -----------------------------------------------------------------
+
+_SPLIT_SQL = r"list_distinct(list_filter(list_transform(regexp_split_to_array({0}, '(?i)\s*(?:;|\band then\b|\bversus\b|\bvs\.?\b)\s*'), lambda x: trim(x, ' ,')), lambda x: x <> ''))"
+_REQUEST = "concat(p_name, CASE WHEN p_size % 3 = 0 THEN ' and then ' WHEN p_size % 3 = 1 THEN '; ' ELSE ' ' END, p_type, ' VS. ', p_brand)"
+
+
+@query(f"SELECT p_partkey AS id, list_sort({_SPLIT_SQL.format(_REQUEST)}) AS parts FROM part")
+def q8_subqueries(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.sort_array(expansion.subqueries(F.expr(_REQUEST))).alias("parts"))
+
+
+@query("SELECT l_orderkey AS query_id, l_linenumber AS rule, CAST(l_suppkey % 3 AS BIGINT) AS start, l_quantity < max(l_quantity) OVER (PARTITION BY l_orderkey, l_suppkey % 3) AS suppressed FROM lineitem")
+def q2_rule_priority(spark, d):
+    hits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rule"), (F.col("l_suppkey") % 3).cast("long").alias("start"), (F.col("l_suppkey") % 3).alias("end"), F.col("l_quantity").alias("priority"))
+    return expansion.fire_rules(hits).select("query_id", "rule", "start", "suppressed")
+
+
+@query("""WITH e AS (SELECT l_orderkey AS query_id, l_returnflag AS kind, lower(l_linestatus) AS concept, 'S' || l_suppkey AS evidence, min(l_linenumber) AS start, max(l_discount) AS c, max(l_quantity) AS r FROM lineitem GROUP BY 1, 2, 3, 4)
+SELECT query_id, kind, concept, max(c) AS confidence, max(r) AS requirement, array_to_string(list(evidence ORDER BY start, evidence)[1:3], '; ') AS evidence FROM e GROUP BY 1, 2, 3""")
+def q7_merged_concepts(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("canonical"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("evidence"), F.col("l_linenumber").alias("start"), F.col("l_discount").alias("confidence"), F.col("l_quantity").alias("requirement"))
+    return expansion.merge_concepts(x)
+
+
+@query(f"WITH {INST}, f AS (SELECT family, arg_min(title, id) AS title, arg_min(fields, id) AS fields FROM inst GROUP BY 1) SELECT family, lower('show ' || title || CASE WHEN len(fields) > 0 THEN ' with ' || array_to_string(fields[1:4], ', ') ELSE '' END) AS text FROM f")
+def r13_prototypes(spark, d):
+    return expansion.prototypes(instances(spark, d))
+
+
+@query(f"WITH {INST} SELECT id, round(CASE WHEN len(prompts) = 0 THEN 1 ELSE 0.15 + 0.85 * pow(list_contains(fields, 'S1')::INT * 0.5 + list_contains(prompts, 'NO')::INT * 0.5, 1.5) END, 6) AS gate FROM inst")
+def h3_mandatory_gate(spark, d):
+    met = F.when(F.size("prompts") > 0, F.array_contains("fields", "S1").cast("int") * 0.5 + F.array_contains("prompts", "NO").cast("int") * 0.5)
+    return instances(spark, d).select("id", F.round(ranking.mandatory_gate(met), 6).alias("gate"))
+
+
+@query(f"""WITH {UNION}, s AS (SELECT query_id, instance_id, fused * 1000 AS score, {CE_SQL} AS ce_score FROM unioned), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, instance_id) <= 40 AS head FROM s),
+b AS (SELECT query_id, instance_id, round(CASE WHEN head THEN score + 0.3 * (coalesce((ce_score - min(ce_score) OVER w) / nullif(max(ce_score) OVER w - min(ce_score) OVER w, 0), 0) - 0.5) ELSE score END, 6) AS blended FROM h WINDOW w AS (PARTITION BY query_id, head))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, instance_id) AS rank FROM b""")
+def h5_blended(spark, d):
+    x = _union(spark, d).select("query_id", "instance_id", (F.col("fused") * 1000).alias("score"), _ce().alias("ce_score"))
+    return ranking.blend(x, 0.3, 40).select("query_id", "instance_id", "blended", F.col("rank").cast("long").alias("rank"))
+
+
+_SUIT_SQL = "round((0.45 * (list_contains(fields, 'S1')::INT + list_contains(fields, 'S2')::INT) / 2.0 + CASE WHEN id % 2 = 0 THEN 0.2 * list_contains(prompts, 'NO')::INT ELSE 0 END) / CASE WHEN id % 2 = 0 THEN 0.65 ELSE 0.45 END, 6)"
+
+
+def _suitability():
+    wanted = {"fields": F.array(F.lit("S1"), F.lit("S2")), "prompts": F.when(F.col("id") % 2 == 0, F.array(F.lit("NO")))}
+    return F.round(ranking.suitability(wanted, {"fields": F.col("fields"), "prompts": F.col("prompts")}), 6)
+
+
+@query(f"WITH {INST} SELECT id, {_SUIT_SQL} AS suitability FROM inst")
+def g20_suitability(spark, d):
+    return instances(spark, d).select("id", _suitability().alias("suitability"))
+
+
+@query("WITH " + FUSED + f""", {INST}, m AS (SELECT query_id, family, instance_id, final_rank, CASE WHEN ce_rank <= 20 THEN ce_score END AS ce_score, {_SUIT_SQL} AS suitability FROM scored JOIN inst ON id = instance_id)
+SELECT query_id, family, instance_id, row_number() OVER (PARTITION BY query_id, family ORDER BY coalesce(ce_score, -1e9) DESC, suitability DESC, final_rank, instance_id) AS place FROM m""")
+def g22_reselection(spark, d):
+    known = instances(spark, d).select(F.col("id").alias("instance_id"), "family", _suitability().alias("suitability"))
+    m = _scored(spark, d).select("query_id", "instance_id", F.col("final_rank").alias("rank"), F.when(F.col("ce_rank") <= 20, F.col("ce_score")).alias("ce_score")).join(known, "instance_id")
+    return ranking.reselect(m).select("query_id", "family", "instance_id", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS query_id, l_extendedprice / 100000 AS s, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem),
+q AS (SELECT query_id, count(DISTINCT p_brand) FILTER (r <= 5) AS cats, max(s) FILTER (r = 1) - max(s) FILTER (r = 2) AS gap FROM p JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT query_id, round(least(1, CASE WHEN query_id % 2 = 0 THEN 0 ELSE 0.45 END + 0.2 * (1 - least(1, (query_id % 5) / 3.0)) + 0.2 * least(1, greatest(0, (cats - 1) / 4.0)) + 0.15 * coalesce(1 - least(1, greatest(0, gap / 0.25)), 0)), 6) AS ambiguity FROM q""")
+def h8_ambiguity(spark, d):
+    w = Window.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
+    p = table(spark, d, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 5").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    s = lambda r: F.max(F.when(F.col("r") == r, F.col("l_extendedprice") / 100000))
+    q = p.groupBy(F.col("l_suppkey").alias("query_id")).agg(F.count_distinct("p_brand").alias("cats"), (s(1) - s(2)).alias("gap"))
+    return q.select("query_id", F.round(ranking.ambiguity(F.col("query_id") % 2 == 0, F.col("query_id") % 5, F.col("cats"), F.col("gap")), 6).alias("ambiguity"))
