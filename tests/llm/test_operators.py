@@ -257,3 +257,19 @@ def test_pipeline_stages(spark):
         if name == "near_dedup":
             assert kept.count() == forest.near_duplicates(docs).where("kept").count()
     assert kept.count() > 0 and corpus_pipeline.STAGES[4][1](spark, kept, SF).count() == kept.count()
+
+
+def test_encoder_equals_the_library_on_random_strings():
+    import random
+    from array import array
+
+    from corvane.llm import tokens
+    from corvane.llm.queries import vocabulary
+
+    enc, r = tokens.TokenEncoder(vocabulary()), random.Random(5)
+    # marks beside words, apostrophes, digits, composing and unusual characters, special tokens, all kinds of space
+    some = [*"aAzZ09 '\n\t.,&<|>≠̸́éÉßÑñ…Σσİ漢 \x1f\x85\xa0ﬁ½٣’sStTlmd", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "é,", "ŉ!"]
+    for _ in range(10_000):
+        x = "".join(r.choice(some) for _ in range(r.randint(0, 14)))
+        assert enc.encode(x) == array("I", enc.library.encode(x, add_special_tokens=False).ids).tobytes(), repr(x)
+    assert enc.encode(None) == b""
