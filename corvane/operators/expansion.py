@@ -33,3 +33,13 @@ def prototypes(instances: DataFrame, family: str = "family", key: str = "id") ->
     x = instances.groupBy(family).agg(F.min_by(F.struct("title", "fields"), key).alias("i"))
     fields = F.array_join(F.slice(F.col("i.fields"), 1, 4), ", ")
     return x.select(family, F.lower(F.concat(F.lit("show "), F.col("i.title"), F.when(fields != "", F.concat(F.lit(" with "), fields)).otherwise(""))).alias("text"))
+
+
+def plan(requests: DataFrame, key: str, variants: dict[str, Column]) -> DataFrame:
+    """(key, variant, text): a request's variants in order, each only where its text isn't empty and differs from all before it."""
+    texts = F.array(*[F.coalesce(v, F.lit("")) for v in variants.values()])
+    names = F.array(*[F.lit(n) for n in variants])
+    x = requests.select(key, texts.alias("_t"))
+    x = x.select(key, "_t", F.posexplode("_t").alias("_k", "text"))
+    first = F.array_position("_t", F.col("text")) == F.col("_k") + 1
+    return x.where(first & (F.col("text") != "")).select(key, F.element_at(names, F.col("_k") + 1).alias("variant"), "text")

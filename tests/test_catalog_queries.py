@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from corvane import catalog_queries
+from corvane import catalog_queries, request_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
