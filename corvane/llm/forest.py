@@ -4,19 +4,24 @@
 2. Each class enters several trees. A tree orders the classes by its own run of signature
    values; classes that share a prefix of DEPTH values are a region. A region of more than
    CAP classes is cut at deeper prefixes, as deep as its own crowding asks for, and also
-   dealt into random blocks, which differ from tree to tree. So work stays linear in a
-   region's size; a link within a family of some ten thousand different texts (CAP * TREES
-   * 0.42 / 2) meets in several trees still, beyond that the chance of a meeting falls.
+   dealt into random blocks, which differ from tree to tree. That finds most links of a
+   crowded region in work linear in its size, but not all.
 3. Within a region, neighbours are candidates if their signatures agree enough: for each
    class its best neighbour and the region's most linked class.
 4. Candidates are confirmed on full shingle sets and joined to components. Then all other
    candidates across components are confirmed too, so that no link between components is
    left out, and components are taken again. Regions dense with such candidates are confirmed
    as a whole, without making a row for each pair.
+5. Classes of crowded regions also meet in that second round by an exact prefix filter: two
+   sets that are linked share one of the first n - ceil(0.75 n) + 1 shingles of each, in any
+   order common to all sets (here from rare to common). Those that share one and belong to
+   different components are compared, in cells of about 2 * CAP classes; where more share it,
+   every block of them meets every other in a cell of its own.
 
 Links have 100 * intersection >= 75 * union (by default). With 24 trees of depth 3, a pair at
-0.75 meets in no tree with probability 2e-6; a met pair is passed over if its estimate over
-128 values falls short of 0.58, more than 4 standard deviations.
+0.75 meets in no tree with probability 2e-6, and one that met only in crowded regions meets
+again in a cell; a met pair is passed over if its estimate over 128 values falls short of
+0.58, more than 4 standard deviations.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ CAP = 2048
 BROADCAST_IDS = 4_000_000
 #: Pairs per class up to which a region's pairs are confirmed one by one.
 DENSE = 4
+#: Bits of the hash of a shingle that name its counter in the order of the prefix filter.
+COUNTERS = 20
 _rng = np.random.default_rng(20250701)
 _XOR = _rng.integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(1, 1 << 31, VALUES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -117,9 +124,9 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     return classes.select("id", "values").mapInArrow(grow, "id long, " + ", ".join(f"q{k} long" for k in range(len(depths))))
 
 
-def regions(classes: DataFrame, cap: int = CAP) -> DataFrame:
-    """(region, id): classes that share a prefix, 2 to about cap classes in each region."""
-    rows, out = _prefixes(classes), []
+def regions(classes: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame | None]:
+    """(region, id): classes that share a prefix, 2 to about cap classes in each region; and (id) of those in a region above cap."""
+    rows, out, crowded = _prefixes(classes), [], None
     for k in range(len(DEEPER) + 1):
         key = f"q{k}"
         sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -132,11 +139,95 @@ def regions(classes: DataFrame, cap: int = CAP) -> DataFrame:
             # random blocks: other ones in each tree
             block = F.pmod(F.xxhash64("id", key), F.ceil(F.col("size") / cap))
             out.append(rows.select(F.xxhash64(key, block).alias("region"), "id"))
+            crowded = rows.select("id").distinct()
         rows = rows.drop("size")
     done = out[0]
     for x in out[1:]:
         done = done.unionByName(x)
-    return done
+    return done, crowded
+
+
+def _counters(shingles: np.ndarray) -> np.ndarray:
+    return (textscan.mix64(shingles) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _order_of_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter: the power of two of its count, and whether sets of more than one component have it.
+
+    Tasks send what they counted in a few rows of packed arrays; 2 bytes a counter reach the driver.
+    """
+    size, low = 1 << COUNTERS, COUNTERS - 6
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        for batch in batches:
+            for c, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                at = _counters(np.frombuffer(s.as_buffer(), "<u8"))
+                np.add.at(n, at, 1)
+                least[at], most[at] = np.minimum(least[at], c), np.maximum(most[at], c)
+        at = np.flatnonzero(n)
+        for part in range(64):
+            x = at[(at >> low) == part]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v.astype("<i8").tobytes()]) for v in (x, n[x], least[x], most[x]))], ["part", "at", "n", "least", "most"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        parts = set()
+        for batch in batches:
+            parts |= set(batch.column(0).to_pylist())
+            for row in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
+                at, k, a, b = (np.frombuffer(v.as_buffer(), "<i8") for v in row)
+                n[at] += k
+                least[at], most[at] = np.minimum(least[at], a), np.maximum(most[at], b)
+        level, mixed = np.ceil(np.log2(np.maximum(n, 1))).astype(np.uint8), (least < most).astype(np.uint8)
+        for part in sorted(parts):
+            cut = slice(part << low, (part + 1) << low)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level[cut].tobytes()]), pa.array([mixed[cut].tobytes()])], ["part", "level", "mixed"])
+
+    packed = sets.select("component", "s").mapInArrow(count, "part int, at binary, n binary, least binary, most binary")
+    level, mixed = np.zeros(size, np.uint8), np.zeros(size, bool)
+    for row in packed.repartition("part").mapInArrow(merge, "part int, level binary, mixed binary").collect():
+        cut = slice(row.part << low, (row.part + 1) << low)
+        level[cut], mixed[cut] = np.frombuffer(row.level, np.uint8), np.frombuffer(row.mixed, np.uint8) > 0
+    return level, mixed
+
+
+def cells(sets: DataFrame, percent: int, cap: int = CAP) -> DataFrame:
+    """(region, id) from rows (id, component, s): every two sets of differing components that can be linked share a region.
+
+    Of those that share a shingle of their prefixes, the largest component is set against the
+    others, and the others against each other; each block of cap against each, in its own region.
+    """
+    level, mixed = _order_of_shingles(sets)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for s in batch.column(2):
+                x = np.frombuffer(s.as_buffer(), "<u8")
+                at = _counters(x)
+                first = np.lexsort((x, level[at]))[: len(x) - -(-percent * len(x) // 100) + 1]
+                found.append(x[first[mixed[at[first]]]].view(np.int64))
+            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *(batch.column(k).take(pa.array(row)) for k in (0, 1))], ["shingle", "id", "component"])
+
+    rows = settle(sets.select("id", "component", "s").mapInArrow(prefix, "shingle long, id long, component long"), "prefixes")
+    by = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+    by = by.agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("lead"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    by = by.select("shingle", "size", F.col("lead.component").alias("first"), F.ceil(F.col("lead.n") / cap).alias("firsts"), F.ceil((F.col("size") - F.col("lead.n")) / cap).alias("others"))
+    x = settle(rows.join(by, "shingle"), "shared")
+    small = x.where(F.col("size") <= cap).select(F.xxhash64("shingle").alias("region"), "id")
+    x = x.where(F.col("size") > cap).withColumn("leads", F.col("component") == F.col("first"))
+    block = F.pmod(F.xxhash64("id", "shingle"), F.when(F.col("leads"), F.col("firsts")).otherwise(F.col("others")))
+    x = x.withColumn("block", block)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    against = x.withColumn("you", F.explode(F.when(F.col("leads"), every("others")).otherwise(every("firsts"))))
+    against = against.select(F.xxhash64("shingle", F.lit("lead"), F.when(F.col("leads"), F.col("block")).otherwise(F.col("you")), F.when(F.col("leads"), F.col("you")).otherwise(F.col("block"))).alias("region"), "id")
+    among = x.where("not leads").withColumn("you", F.explode(every("others")))
+    among = among.select(F.xxhash64("shingle", F.lit("other"), F.least("block", "you"), F.greatest("block", "you")).alias("region"), "id")
+    return small.unionByName(against).unionByName(among)
 
 
 def _pairs_in(first: np.ndarray, last: np.ndarray, n: np.ndarray, sig: np.ndarray, least: float, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,7 +442,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     head_rows = full.join(heads, "id", "left_semi").select("id", "n", "values").dropDuplicates(["id"])
     head_rows = settle(head_rows, "heads")
     least, ratio = percent / 100 - 0.17, percent / 100
-    places = settle(regions(head_rows, cap), "regions")
+    places, crowded = regions(head_rows, cap)
+    places = settle(places, "regions")
     rows = settle(places.distinct().join(head_rows, "id"), "places")
     pairs = settle(candidates(rows, least, ratio, False), "pairs")
     # of the pairs of each class: the most alike partner, and the one that most regions have as their most linked class
@@ -360,13 +452,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     chosen = chosen.select("me", F.explode(F.array("x", "y")).alias("you")).select(F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b")).distinct()
     links = confirm(settle(chosen, "chosen"), docs, key, text, width, percent)
     comp = settle(components(links), "components")
-    labelled = rows.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = comp.select(F.col("node").alias("id"), "component")
+    if crowded is not None:
+        sets = full_sets(settle(crowded, "crowded"), docs, key, text, width).join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        again = settle(cells(settle(sets, "crowded-sets"), percent, cap), "cells")
+        rows = rows.unionByName(again.join(head_rows, "id").select(*rows.columns))
+    labelled = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = settle(candidates(labelled, least, ratio, True), "rest")
     more = confirm(rest.where("hub >= 0").select("a", "b").distinct(), docs, key, text, width, percent)
     dense = rest.where("hub < 0").select(F.col("a").alias("region"), F.col("b").alias("id"))
     if not dense.isEmpty():
         sets = full_sets(settle(dense.select("id").distinct(), "wanted"), docs, key, text, width)
-        known = comp.select(F.col("node").alias("id"), "component")
         crowd = dense.join(sets, "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         more = more.unionByName(settle(links_in_dense_regions(crowd, percent), "dense-links"))
     comp = settle(components(links.unionByName(more)), "components")
