@@ -81,9 +81,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float = 3.0) -> Da
 
 
 def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, most: float = 3.0, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, position) and kept columns, for each row.
+    """(doc_id, size, source_size, target, taken, position, mixed_source, turn, at) and kept columns, for each row.
 
-    position: time of the document's first word, null where nothing is taken.
+    position: time of the document's first word, null where nothing is taken; at: words before it in a round of its source.
     """
     extra = {c: f"kept_{i}" for i, c in enumerate(keep)}
     rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *[F.col(c).alias(a) for c, a in extra.items()])
@@ -101,19 +101,31 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
     rounds = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = goal - rounds * F.col("source_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("at")))
-    share = F.when(F.col("target") > 0, F.col("at") / F.col("target"))
-    time = F.lit(None).cast("double")
-    for k, s in enumerate(schedules):
-        time = F.when(F.col("turn") == k, invert(share, s)).otherwise(time)
+    time = _time(F.lit(1), schedules)
     return x.select(
         F.col("k").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"),
-        F.when(taken > 0, F.round(time, 9)).alias("position"), F.col("source").alias("mixed_source"), *[F.col(a).alias(c) for c, a in extra.items()],
+        F.when(taken > 0, F.round(time, 9)).alias("position"), F.col("source").alias("mixed_source"), "turn", "at", *[F.col(a).alias(c) for c, a in extra.items()],
     )
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
-    """Documents range-sorted by position, each as often as it is taken (parts count from one half)."""
-    times = F.round(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int")
-    x = mixed.withColumn("round", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
-    x = x.withColumn("position", F.coalesce("position", F.lit(0.0)) + F.col("round") - 1)
+def _time(round_: Column, schedules: Sequence[Sequence[tuple[float, float]]]) -> Column:
+    """Time of the first word of a document's copy in the given round, from turn, at, source_size and target."""
+    share = F.when(F.col("target") > 0, (F.col("at") + (round_ - 1) * F.col("source_size")) / F.col("target"))
+    time = F.lit(None).cast("double")
+    for k, s in enumerate(schedules):
+        time = F.when(F.col("turn") == k, invert(share, s)).otherwise(time)
+    return time
+
+
+def in_training_order(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, parts: bool = False, untaken: bool = False) -> DataFrame:
+    """Documents range-sorted by position, each as often as it is taken; round counts its copies from 1.
+
+    Parts count from one half, or each as a copy; untaken documents stay out, or come first, in round 0.
+    A copy's position is the time of its own place in the source's demand, so all lie in 0..1.
+    """
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
+    times = (F.ceil(copies) if parts else F.round(copies)).cast("int")
+    none = F.array(F.lit(0)) if untaken else F.array().cast("array<int>")
+    x = mixed.withColumn("round", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(none)))
+    x = x.withColumn("position", F.when(F.col("round") > 0, F.round(_time(F.col("round"), schedules), 9)))
     return x.repartitionByRange("position").sortWithinPartitions("position", "round")
