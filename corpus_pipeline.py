@@ -9,24 +9,36 @@ from corvane.llm import forest, leaks, mixing, shared, tokens, toxicity
 from corvane.llm.queries import table, vocabulary
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the kept ones; rows without an id stay."""
-    return docs.join(kept.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows of docs with a number of their own, written so that it stays: verdicts are a row's, whatever its doc_id."""
+    return shared.settle(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Those of the numbered rows whose number is in the kept column, without it."""
+    return rows.join(kept.toDF("row"), "row", "left_semi").drop("row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject."""
-    return _only(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("not toxic"))
+    rows = _numbered(docs)
+    chain = toxicity.fit(rows, table(spark, sf_dir, "labels"), toxicity.categories())
+    return _only(rows, toxicity.score(rows, chain, key="row").where("not p_toxic >= 0.5").select("row"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group."""
-    return _only(docs, forest.near_duplicates(docs).where("kept")).dropDuplicates(["doc_id", "text"])
+    """The document of the smallest id of each group; a null id is the largest."""
+    rows = _numbered(docs)
+    found = forest.near_duplicates(rows, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"]
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(first.alias("row")).select("row")
+    return _only(rows, kept).dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    return _only(docs, leaks.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    rows = _numbered(docs)
+    return _only(rows, leaks.contamination(rows, table(spark, sf_dir, "benchmark"), key="row").where("n_hit = 0").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
