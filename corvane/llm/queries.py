@@ -50,7 +50,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """What is taken of each document, from the training order: a table in the shared folder, a row for each copy with its position.
+
+    The columns are those of the SQL, so positions stay in that table.
+    """
+    order = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")), parts=True, untaken=True)
+    return shared.settle(order, "training-order").where("round <= 1").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
