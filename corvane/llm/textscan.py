@@ -39,6 +39,8 @@ def _letters() -> np.ndarray:
 
 
 _LETTER = _letters()
+#: The same for bytes as they are, A-Z apart from a-z.
+EXACT = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
 #: Separators: the six ASCII white-space characters.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -95,11 +97,11 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same for A-Z and a-z."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = _LETTER) -> np.ndarray:
+    """A 64-bit hash of each word, by default the same for A-Z and a-z."""
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * up[:-1], out=total[1:])
+    np.cumsum(letters[data] * up[:-1], out=total[1:])
     return mix64((total[end] - total[start]) * down[start])
 
 

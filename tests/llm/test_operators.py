@@ -8,10 +8,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, forest, hosts, leaks, mixing, rangecoder, shared, tokens, toxicity, warc, weaklabels
+from corvane.llm import ann, forest, hosts, leaks, mixing, rangecoder, shared, textscan, tokens, toxicity, warc, weaklabels
 from corvane.llm.queries import vocabulary
 
 SF = "/root/testdata/sf0.01"
@@ -98,12 +99,24 @@ def test_contamination_equals_brute_force(spark, texts):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(1)
-    for vocab in (2, 300, 49_408):
-        blocks = [rng.integers(0, vocab, n).astype(np.uint32) for n in (700, 700, 40, 1, 0)] + [np.zeros(0, np.uint32)]
-        out = rangecoder.decode(rangecoder.encode(blocks, vocab), [len(b) for b in blocks], vocab)
-        assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, out, strict=True))
-    same = [np.full(4000, 7, np.uint32)]
-    assert len(rangecoder.encode(same, 49_408)[0]) < 400
+    for vocab in (2, 300, 49_408, 200_000):
+        for n, block in ((1, 1), (1, 512), (700, 512), (512, 512), (5000, 16), (30_000, 64)):
+            skewed = (vocab * rng.random(n) ** 6).astype(np.uint32)
+            for ids in (rng.integers(0, vocab, n).astype(np.uint32), skewed, np.full(n, vocab - 1, np.uint32), np.tile(skewed[: n // 9 + 1], 9)[:n]):
+                order0 = rangecoder.Order0.of(ids, vocab)
+                packed = order0.pack()
+                assert (rangecoder.decode(rangecoder.encode(ids, block, order0, vocab), n, block, rangecoder.Order0.unpack(packed)) == ids).all()
+    same = np.full(4000, 7, np.uint32)
+    assert sum(map(len, rangecoder.encode(same, 4000, rangecoder.Order0.of(same, 49_408), 49_408))) < 400
+
+
+def test_range_coder_beats_zlib_on_documents(spark):
+    enc = tokens.TokenEncoder(vocabulary())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").toArrow()["text"]
+    ids = np.concatenate([enc.encode_slice(data, offsets)[0] for _, _, data, offsets in textscan.slices(docs)])
+    n = np.array([len(ids)])
+    whole = sum(map(len, tokens.file_bytes(iter([(n, n < 0, n, ids)]), 49_408)))
+    assert whole < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
 def test_token_ids_round_trip(spark, texts):
@@ -122,12 +135,23 @@ def test_token_ids_round_trip(spark, texts):
 
 
 def test_id_file_checks_blocks():
-    ids = np.arange(5000, dtype="<u4")
-    data = bytearray(b"".join(tokens.file_bytes(iter([(1, ids.tobytes())]), 49_408, [])))
-    assert [(k, x.tolist()) for k, x in tokens.read_file(io.BytesIO(bytes(data)))] == [(1, ids.tolist())]
-    data[len(data) // 2] ^= 255
+    ids = np.arange(5000, dtype=np.uint32)
+    counts = np.array([0, 4000, 0, 1, 999, 0])
+    keys, null = np.array([5, 1, 2, 0, 9, -3]), np.array([False, False, False, True, False, False])
+    ends = np.cumsum(counts)
+    want = [(None if v else k, ids[b - c : b].tolist()) for k, v, c, b in zip(keys.tolist(), null.tolist(), counts.tolist(), ends.tolist(), strict=True)]
+    for group in (1 << 20, 1000, 333, 5000):
+        data = b"".join(tokens.file_bytes(iter([(keys, null, counts, ids)]), 49_408, group))
+        assert [(k, x.tolist()) for k, x in tokens.read_file(io.BytesIO(data))] == want
+        two = iter([(keys[:2], null[:2], counts[:2], ids[:4000]), (keys[2:], null[2:], counts[2:], ids[4000:])])
+        assert [(k, x.tolist()) for k, x in tokens.read_file(io.BytesIO(b"".join(tokens.file_bytes(two, 49_408, group))))] == want
+    for at in range(20, len(data) - 20, 97):
+        bad = bytearray(data)
+        bad[at] ^= 255
+        with pytest.raises(ValueError):
+            list(tokens.read_file(io.BytesIO(bytes(bad))))
     with pytest.raises(ValueError):
-        list(tokens.read_file(io.BytesIO(bytes(data))))
+        list(tokens.read_file(io.BytesIO(data[:-30])))
 
 
 def test_warc_round_trip(spark):
@@ -269,7 +293,15 @@ def test_encoder_equals_the_library_on_random_strings():
     enc, r = tokens.TokenEncoder(vocabulary()), random.Random(5)
     # marks beside words, apostrophes, digits, composing and unusual characters, special tokens, all kinds of space
     some = [*"aAzZ09 '\n\t.,&<|>≠̸́éÉßÑñ…Σσİ漢 \x1f\x85\xa0ﬁ½٣’sStTlmd", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "é,", "ŉ!"]
-    for _ in range(10_000):
-        x = "".join(r.choice(some) for _ in range(r.randint(0, 14)))
+    many = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(10_000)] + ["a" * 300 + " b", "É" * 300, "", " "]
+    for x in many[:2000]:
         assert enc.encode(x) == array("I", enc.library.encode(x, add_special_tokens=False).ids).tobytes(), repr(x)
     assert enc.encode(None) == b""
+    # many rows at a time, with a table that is cleared again and again
+    tokens.CACHED_PIECES, kept = 1000, tokens.CACHED_PIECES
+    got = []
+    for _, _, data, offsets in textscan.slices(pa.array([None, *many]), docs=100):
+        ids, edges = enc.encode_slice(data, offsets)
+        got += [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    tokens.CACHED_PIECES = kept
+    assert got == [[]] + [enc.library.encode(x, add_special_tokens=False).ids for x in many]
