@@ -37,10 +37,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 # SQL fragments that several oracles share.
-INST = """u AS (SELECT l_partkey, count(*) AS runs, max(l_shipdate) AS last_run, list_sort(list(DISTINCT 'S' || l_suppkey)) AS fields, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS prompts FROM lineitem WHERE l_quantity >= 48 GROUP BY 1),
+INST = """u AS (SELECT l_partkey, count(*) AS runs, max(l_shipdate) AS last_run, list_sort(list(DISTINCT 'S' || l_suppkey)) AS fields, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS prompts FROM lineitem GROUP BY 1),
 inst AS (SELECT p_partkey AS id, p_name AS title, lower(p_name) AS family, p_brand AS category, p_type AS data_source, coalesce(fields, []) AS fields, coalesce(prompts, []) AS prompts, runs, last_run FROM part LEFT JOIN u ON l_partkey = p_partkey)"""
 FOLD = "replace(lower(coalesce({0}, '')), 'ß', 'ss')"
 TOK = "regexp_extract_all(" + FOLD + ", '[a-z0-9]+')"
+SINGULAR = "CASE WHEN length({0}) <= 3 THEN {0} WHEN ends_with({0}, 'ies') AND length({0}) > 4 THEN left({0}, length({0}) - 3) || 'y' " + " ".join(f"WHEN ends_with({{0}}, '{e}') AND length({{0}}) > {len(e) + 2} THEN left({{0}}, length({{0}}) - {len(e)})" for e in ("ches", "shes", "ses", "xes", "zes")) + " WHEN ends_with({0}, 's') AND NOT (ends_with({0}, 'ss') OR ends_with({0}, 'us') OR ends_with({0}, 'is')) THEN left({0}, length({0}) - 1) ELSE {0} END"
 HITS = """raw AS (SELECT l_suppkey AS query_id, l_partkey AS instance_id, CASE l_returnflag WHEN 'A' THEN 'bm25f' WHEN 'N' THEN 'dense' ELSE 'splade' END AS generator, 'Q' || CAST((l_linenumber - 1) % 6 AS VARCHAR) AS variant, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2, 3, 4),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, generator, variant ORDER BY score DESC, instance_id) AS rank FROM raw QUALIFY rank <= 50),
 best AS (SELECT query_id, generator, instance_id, rank AS best_rank, score, variant FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, generator, instance_id ORDER BY rank, variant) = 1),
@@ -276,9 +277,9 @@ def j8_required_fields(spark, d):
     return x.groupBy("id").agg(F.count_distinct("field").alias("n")).where("n >= 2")
 
 
-@query("WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 48), v AS (SELECT DISTINCT s FROM c), co AS (SELECT DISTINCT a.s AS a, b.s AS b FROM c a JOIN c b ON a.p = b.p AND a.s < b.s), per AS (SELECT a, count(*) AS n FROM co GROUP BY a) SELECT v.s AS supplier, (SELECT count(*) FROM v w WHERE w.s > v.s) - coalesce(n, 0) AS co_absent FROM v LEFT JOIN per ON per.a = v.s")
+@query("WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), v AS (SELECT DISTINCT s FROM c), co AS (SELECT DISTINCT a.s AS a, b.s AS b FROM c a JOIN c b ON a.p = b.p AND a.s < b.s), per AS (SELECT a, count(*) AS n FROM co GROUP BY a) SELECT v.s AS supplier, (SELECT count(*) FROM v w WHERE w.s > v.s) - coalesce(n, 0) AS co_absent FROM v LEFT JOIN per ON per.a = v.s")
 def j13_co_absent(spark, d):
-    c = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     co = c.join(c.select("p", F.col("s").alias("b")), "p").where("s < b").select("s", "b").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     # how many larger values there are, from their rank: absent pairs are counted without making them
     v = c.select("s").distinct().withColumn("larger", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s")))
@@ -543,10 +544,10 @@ def r19_posterior(spark, d):
     return x.select("query_id", "id", F.round(F.col("e") / F.sum("e").over(w), 6).alias("posterior"))
 
 
-@query("SELECT query_id, p1, p2, CASE WHEN p1 >= 0.15 AND p1 - p2 >= 0.03 THEN 1 ELSE 5 END AS shown FROM (SELECT l_suppkey AS query_id, round(max(l_extendedprice) / sum(l_extendedprice), 6) AS p1, round(list_sort(list(l_extendedprice), 'DESC')[2] / sum(l_extendedprice), 6) AS p2 FROM lineitem WHERE l_quantity >= 48 GROUP BY 1)")
+@query("SELECT query_id, p1, p2, CASE WHEN p1 >= 0.15 AND p1 - p2 >= 0.03 THEN 1 ELSE 5 END AS shown FROM (SELECT l_suppkey AS query_id, round(max(l_extendedprice) / sum(l_extendedprice), 6) AS p1, round(list_sort(list(l_extendedprice), 'DESC')[2] / sum(l_extendedprice), 6) AS p2 FROM lineitem GROUP BY 1)")
 def r21_confidence_rule(spark, d):
     best = F.slice(F.sort_array(F.collect_list("l_extendedprice"), asc=False), 1, 2)
-    x = table(spark, d, "lineitem").where("l_quantity >= 48").groupBy(F.col("l_suppkey").alias("query_id")).agg(best.alias("b"), F.sum("l_extendedprice").alias("t"))
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("query_id")).agg(best.alias("b"), F.sum("l_extendedprice").alias("t"))
     x = x.select("query_id", F.round(F.col("b")[0] / F.col("t"), 6).alias("p1"), F.round(F.get("b", F.lit(1)) / F.col("t"), 6).alias("p2"))
     return x.withColumn("shown", F.when((F.col("p1") >= 0.15) & (F.col("p1") - F.col("p2") >= 0.03), 1).otherwise(5))
 
@@ -602,13 +603,13 @@ def g24_clarification(spark, d):
     return x.select("query_id", F.when(F.col("sources") >= 2, "data_source").when(F.col("brands") >= 2, "category").alias("facet"), "sources")
 
 
-@query(f"""WITH {FAMILY}, rel AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS instance_id FROM lineitem WHERE l_quantity >= 48),
+@query(f"""WITH {FAMILY}, rel AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS instance_id FROM lineitem),
 j AS (SELECT rel.query_id, rel.instance_id, CASE WHEN famr.selected IS NOT NULL THEN 3 WHEN s.instance_id IS NOT NULL THEN 2 WHEN u.instance_id IS NOT NULL THEN 1 ELSE 0 END AS stage FROM rel
 LEFT JOIN unioned u ON u.query_id = rel.query_id AND u.instance_id = rel.instance_id LEFT JOIN short s ON s.query_id = rel.query_id AND s.instance_id = rel.instance_id LEFT JOIN famr ON famr.query_id = rel.query_id AND famr.selected = rel.instance_id)
 SELECT CAST(stage AS BIGINT) AS last_stage, count(*) AS n FROM j GROUP BY 1""")
 def g27_e6_survival(spark, d):
     """How far relevant instances come: union 1, shortlist 2, selected by a family 3."""
-    rel = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("instance_id")).distinct().withColumn("stage", F.lit(0))
+    rel = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("instance_id")).distinct().withColumn("stage", F.lit(0))
     stage = lambda x, k: x.select("query_id", F.col("instance_id"), F.lit(k).alias("stage"))
     x = rel.unionByName(stage(_union(spark, d), 1)).unionByName(stage(_short(spark, d), 2)).unionByName(stage(_families(spark, d).withColumnRenamed("selected", "instance_id"), 3))
     x = x.groupBy("query_id", "instance_id").agg(F.min("stage").alias("relevant"), F.max("stage").alias("last_stage")).where("relevant = 0")
@@ -696,10 +697,14 @@ def y2_distinguishers(spark, d):
     return v.groupBy("family", "kind", "value").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").drop("last")
 
 
-@query(f"WITH {INST} SELECT field, count(DISTINCT id) AS df FROM (SELECT id, family, unnest(fields) AS field FROM inst) GROUP BY 1 HAVING count(DISTINCT id) <= 40 AND count(DISTINCT family) > 1")
+@query("""WITH f AS (SELECT DISTINCT o_custkey % 400 AS field, o_orderkey AS id, o_orderkey // 128 AS family FROM orders)
+SELECT field, count(*) AS df, list_sort(list(id)) AS ids FROM f GROUP BY 1 HAVING count(*) <= 3 AND count(DISTINCT family) = 1""")
 def y4_rare_fields(spark, d):
-    x = instances(spark, d).select("id", "family", F.explode("fields").alias("field"))
-    return x.groupBy("field").agg(F.count_distinct("id").alias("df"), F.count_distinct("family").alias("f")).where("df <= 40 and f > 1").drop("f")
+    """Fields of at most three instances, all in one family: a request that names one has a definite answer."""
+    x = table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("field"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 128).alias("family")).distinct()
+    # bounded: only fields of few instances have their ids listed
+    few = x.groupBy("field").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("family").alias("families")).where("df <= 3 and families = 1").select("field", "df")
+    return x.join(few, "field").groupBy("field", "df").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("field", "df", "ids")
 
 
 @query("SELECT c_custkey AS id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 3 AS reviewer FROM customer")
@@ -721,11 +726,15 @@ def i1_incremental_refresh(spark, d):
     return reused.unionByName(new.join(old, ["doc_id", "h"], "left_anti").select("doc_id", F.lit(False).alias("reused")))
 
 
-@query("SELECT conv_id, count(*) AS turns, string_agg(left(text, 20), ' / ' ORDER BY turn) FILTER (role = 'user') AS clarified FROM conversations GROUP BY conv_id")
+@query("""WITH said AS (SELECT conv_id, count(*) AS turns, string_agg(text, ' / ' ORDER BY turn) FILTER (role = 'user') AS said, arg_min(text, turn) FILTER (role = 'user') AS first_said FROM conversations GROUP BY conv_id)
+SELECT conv_id, turns, left(sha256(coalesce(said, '')), 16) AS context_hash, length(coalesce(said, '')) AS context_length, CASE WHEN said IS NOT NULL AND said <> first_said THEN 'QC' END AS variant FROM said""")
 def g34_clarified_rerun(spark, d):
-    said = F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", F.left("text", F.lit(20)).alias("x")))))
+    """All that a user said, whole, as the context of a rerun; a QC variant where it says more than the first request. The context is returned as a digest."""
+    said = F.sort_array(F.collect_list(F.when((F.col("role") == "user") & F.col("text").isNotNull(), F.struct("turn", "text"))))
     x = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), said.alias("s"))
-    return x.select("conv_id", "turns", F.nullif(F.array_join(F.transform("s", lambda v: v["x"]), " / "), F.lit("")).alias("clarified"))
+    x = x.withColumn("said", F.array_join(F.transform("s", lambda v: v["text"]), " / "))
+    more = (F.size("s") > 0) & (F.col("said") != F.get("s", F.lit(0))["text"])
+    return x.select("conv_id", "turns", F.left(F.sha2("said", 256), F.lit(16)).alias("context_hash"), F.length("said").cast("long").alias("context_length"), F.when(more, "QC").alias("variant"))
 
 
 # --- gates, suitability, expansion -----------------------------------------------------------------

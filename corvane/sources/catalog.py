@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that count as use of a part.
-LEAST_QUANTITY = 48
 GENERATORS = ("bm25f", "dense", "splade")
 
 
@@ -16,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part: id, title, family, category, data_source, fields, prompts, runs, last_run; unused parts have nulls and empty lists."""
-    used = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= LEAST_QUANTITY)
+    used = table(spark, sf_dir, "lineitem")
     use = used.groupBy("l_partkey").agg(
         F.count(F.lit(1)).alias("runs"), F.max("l_shipdate").alias("last_run"),
         F.sort_array(F.collect_set(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))).alias("fields"),

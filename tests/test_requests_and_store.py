@@ -15,36 +15,48 @@ def test_max_sim_padding_and_empty_documents(spark):
     assert [r[0] for r in x.select(encoded.max_sim(F.col("q"), F.col("d"))).collect()] == [5.0, 0.0, 0.0]
 
 
-def test_osa_against_the_recurrence():
-    def plain(a, b):
-        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[len(a), len(b)]
-
+def aligned(a, b):
+    """Optimal string alignment by its recurrence."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_distance_against_the_recurrence(spark):
     r = random.Random(1)
-    for _ in range(2000):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(8))) for _ in range(2))
-        assert typos.osa(a, b, 2) == min(plain(a, b), 3)
-    assert (typos.osa("ab", "ba", 2), typos.osa("ca", "abc", 2)) == (1, 3)
+    rows = [tuple("".join(r.choice("abc") for _ in range(r.randrange(8))) for _ in range(2)) for _ in range(3000)] + [("ab", "ba"), ("ca", "abc"), ("abcd", "badc"), ("", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", typos.distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [x.d for x in got] == [min(aligned(a, b), 3) for a, b in rows]
 
 
 def test_corrections_against_brute_force(spark):
     r = random.Random(2)
-    known = {"".join(r.choice("abcde") for _ in range(r.randrange(5, 12))): r.choice((1, 3, 30)) for _ in range(120)}
-    words = {w[:1] + "".join(r.sample(w[1:], len(w) - 1)) if r.random() < 0.3 else w[:3] + r.choice("abcde") + w[3 + r.randrange(2) :] for w in known} | {"abc", ""}
-    want = {}
-    for w in words - set(known):
-        near = {c: typos.osa(w, c, 2) for c, df in known.items() if len(w) >= 5 and c[0] == w[0] and df >= 3}
-        near = {c: k for c, k in near.items() if k == 1 or k == 2 and len(w) >= 10 and known[c] >= 25}
-        best = [c for c, k in near.items() if k == min(near.values())]
-        if len(best) == 1:
-            want[w] = (best[0], near[best[0]])
-    got = typos.corrections(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(known.items()), "word string, df int")).collect()
-    assert want and {x.word: (x.correction, x.distance) for x in got} == want and len(got) == len(want)
+    word = lambda n: "".join(r.choice("abcde") for _ in range(n))
+    known = {word(r.choice((5, 7, 9, 10, 11, 12, 22, 23, 24, 25, 26, 27, 28, 40))): r.choice((1, 3, 30)) for _ in range(200)}
+
+    def changed(w):
+        for _ in range(r.randrange(1, 4)):
+            k = r.randrange(1, len(w) - 1)
+            w = r.choice((w[:k] + w[k + 1 :], w[:k] + r.choice("abcde") + w[k:], w[:k] + r.choice("abcde") + w[k + 1 :], w[:k] + w[k : k + 2][::-1] + w[k + 2 :]))
+        return w
+
+    words = {changed(w) for w in known for _ in range(3)} | {"abc", "", "abcd3e", "abcdes"}
+    known["abcde"] = 1
+    want = {"abcdes": ("abcde", 0, None, None)}
+    for w in words - set(known) - {"abcdes", "abcd3e"}:
+        near = {c: aligned(w, c) for c, df in known.items() if len(w) >= 5 and c[0] == w[0] and df >= 3 and abs(len(c) - len(w)) <= 2}
+        order = sorted((k, c) for c, k in near.items() if k == 1 or k == 2 and len(w) >= 10 and known[c] >= 25)
+        if order and (len(order) == 1 or order[1][0] > order[0][0]):
+            second = order[1] if len(order) > 1 else (None, None)
+            want[w] = (order[0][1], order[0][0], second[1], second[0])
+    singular = lambda x: F.when(x == "abcdes", "abcde").otherwise(x)
+    rows = [(w,) for w in words] + [(None,), ("abcdes",)]
+    got = typos.corrections(spark.createDataFrame(rows, "word string"), spark.createDataFrame([*known.items(), (None, 9)], "word string, df int"), singular).collect()
+    assert len(want) > 50 and {x.word: (x.correction, x.distance, x.runner, x.runner_distance) for x in got} == want and len(got) == len(want)
 
 
 def test_pairs_are_scored_once_and_infinite_scores_drop(spark):
