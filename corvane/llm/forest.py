@@ -3,9 +3,10 @@
 1. Texts of equal shingle sets are one class, known by its smallest id; only classes go on.
 2. Each class enters several trees. A tree orders the classes by its own run of signature
    values; classes that share a prefix of DEPTH values are a region. A region of more than
-   CAP classes is cut at deeper prefixes, as deep as its own crowding asks for, and also
-   dealt into random blocks, which differ from tree to tree. That finds most links of a
-   crowded region in work linear in its size, but not all.
+   CAP classes is crowded: there each class meets its two neighbours in the sorted order of
+   up to ORDERED values, which are those of the longest common prefix, so the depth at which
+   classes meet adapts to how crowded their part of the region is. That is linear in a
+   region's size, but doesn't find all of its links.
 3. Within a region, neighbours are candidates if their signatures agree enough: for each
    class its best neighbour and the region's most linked class.
 4. Candidates are confirmed on full shingle sets and joined to components. Then all other
@@ -40,12 +41,17 @@ from corvane.llm.shared import settle
 
 VALUES = 128
 TREES, DEPTH = 24, 3
-DEEPER = (5, 8, 12, 20, 32)
+#: Values of a sorted order in crowded regions.
+ORDERED = 32
 CAP = 2048
 #: Ids of 8 bytes that may be sent to all tasks: 32 MB.
 BROADCAST_IDS = 4_000_000
 #: Pairs per class up to which a region's pairs are confirmed one by one.
 DENSE = 4
+#: Rows of regions solved at once; a region is never cut.
+HELD = 4096
+#: Rows of one text from which its class is sent to all tasks, unless there are too many such texts.
+HOT, HOT_TEXTS = 1000, 1_000_000
 #: Bits of the hash of a shingle that name its counter in the order of the prefix filter.
 COUNTERS = 20
 _rng = np.random.default_rng(20250701)
@@ -102,8 +108,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """(tree, id, q0...): hash of each tree's prefix at each depth."""
-    depths = (DEPTH, *DEEPER)
+    """(tree, id, region): the hash of each tree's prefix."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,40 +116,65 @@ def _prefixes(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, VALUES).astype(np.uint64)
-            prefix = np.empty((len(depths), TREES, n), np.uint64)
+            prefix = np.empty((TREES, n), np.uint64)
             for tree in range(TREES):
                 h = np.full(n, np.uint64(tree + 1))
-                for k in range(depths[-1]):
-                    h = textscan.mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, (tree * DEPTH + k) % VALUES])
-                    if k + 1 in depths:
-                        prefix[depths.index(k + 1), tree] = h
-            ids = pa.array(np.tile(batch.column(0).to_numpy(), TREES))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(p.reshape(-1).view(np.int64)) for p in prefix)], ["id", *(f"q{k}" for k in range(len(depths)))])
+                for k in range(DEPTH):
+                    h = textscan.mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, tree * DEPTH + k])
+                prefix[tree] = h
+            trees = pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n))
+            yield pa.RecordBatch.from_arrays([trees, pa.array(np.tile(batch.column(0).to_numpy(), TREES)), pa.array(prefix.reshape(-1).view(np.int64))], ["tree", "id", "region"])
 
-    return classes.select("id", "values").mapInArrow(grow, "id long, " + ", ".join(f"q{k} long" for k in range(len(depths))))
+    return classes.select("id", "values").mapInArrow(grow, "tree int, id long, region long")
 
 
 def regions(classes: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame | None]:
-    """(region, id): classes that share a prefix, 2 to about cap classes in each region; and (id) of those in a region above cap."""
-    rows, out, crowded = _prefixes(classes), [], None
-    for k in range(len(DEEPER) + 1):
-        key = f"q{k}"
-        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = settle(rows.join(sizes, key), "forest")
-        out.append(rows.where(F.col("size") <= cap).select(F.col(key).alias("region"), "id"))
-        rows = rows.where(F.col("size") > cap)
-        if rows.isEmpty():
-            break
-        if k == 0:
-            # random blocks: other ones in each tree
-            block = F.pmod(F.xxhash64("id", key), F.ceil(F.col("size") / cap))
-            out.append(rows.select(F.xxhash64(key, block).alias("region"), "id"))
-            crowded = rows.select("id").distinct()
-        rows = rows.drop("size")
-    done = out[0]
-    for x in out[1:]:
-        done = done.unionByName(x)
-    return done, crowded
+    """(region, id): classes that share a prefix, 2 to cap in each region; and (tree, id) of those in larger regions, if any."""
+    rows = _prefixes(classes)
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = settle(rows.join(sizes, "region"), "forest")
+    crowded = rows.where(F.col("size") > cap).select("tree", "id")
+    return rows.where(F.col("size") <= cap).select("region", "id"), None if crowded.isEmpty() else crowded
+
+
+def order_neighbours(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, agree, lead_a, lead_b): classes of (tree, id) next to each other in a tree's sorted order, with DEPTH values or more in common.
+
+    The orders are range-partitioned; the first and last class of each partition meet those of
+    the partitions beside it in a second step of two rows a partition.
+    """
+    run = F.substring(F.concat("values", "values"), F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * ORDERED))
+    rows = crowded.join(classes.select("id", "values"), "id").select("tree", run.alias("run"), "id")
+    shape = "a long, b long, agree int, tree int, run binary, id long"
+
+    def walk(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
+        before = first = last = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            tree, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            run = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, ORDERED)
+            if first is None:
+                first = (int(tree[0]), run[0].tobytes(), int(ids[0]))
+            if before is not None:
+                tree, run, ids = (np.concatenate(x) for x in zip(before, (tree, run, ids), strict=True))
+            before = (tree[-1:], run[-1:], ids[-1:])
+            last = (int(tree[-1]), run[-1].tobytes(), int(ids[-1]))
+            common = np.logical_and.accumulate(run[1:] == run[:-1], axis=1).sum(1)
+            x = np.flatnonzero((common >= DEPTH) & (tree[1:] == tree[:-1]) & (ids[1:] != ids[:-1]))
+            none = pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[x + 1])), pa.array(np.maximum(ids[x], ids[x + 1])), pa.array(common[x].astype(np.int32)), *none], ["a", "b", "agree", "tree", "run", "id"])
+        if borders and first is not None:
+            ends = [first, last] if first != last else [first]
+            none = [pa.nulls(len(ends), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, *(pa.array(c, t) for c, t in zip(zip(*ends, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True))], ["a", "b", "agree", "tree", "run", "id"])
+
+    ordered = rows.repartitionByRange("tree", "run", "id").sortWithinPartitions("tree", "run", "id")
+    found = settle(ordered.mapInArrow(lambda batches: walk(batches, True), shape), "orders")
+    borders = found.where("id is not null").select("tree", "run", "id").coalesce(1).sortWithinPartitions("tree", "run", "id")
+    pairs = found.where("id is null").unionByName(borders.mapInArrow(lambda batches: walk(batches, False), shape))
+    return pairs.groupBy("a", "b").agg(F.least(F.lit(VALUES), F.sum("agree")).cast("int").alias("agree")).select("a", "b", "agree", F.lit(0).cast("long").alias("lead_a"), F.lit(0).cast("long").alias("lead_b"))
 
 
 def _counters(shingles: np.ndarray) -> np.ndarray:
@@ -312,7 +342,7 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size >= 16_384:
+            if size >= HELD:
                 table = pa.Table.from_batches(held)
                 region = table.column("region").to_numpy()
                 cut = int(np.searchsorted(region, region[-1]))
@@ -425,6 +455,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     return settle(x.mapInArrow(check, "a long, b long"), "links")
 
 
+def _classes(full: DataFrame, n_rows: int) -> DataFrame:
+    """(id, class): rows of equal sets have the smallest id among them.
+
+    Rows of a text that is alone need no join. Texts of very many rows, at most HOT_TEXTS, are
+    broadcast, so that their rows stay where they are; all others are joined by a shuffle.
+    """
+    own = ["d0", "d1", "n"]
+    classes = settle(full.groupBy(*own).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "texts")
+    hot = max(HOT, n_rows // HOT_TEXTS)
+    rows = full.select("id", *own).join(F.broadcast(classes.where(F.col("rows") > hot).select(*own, F.col("class").alias("hot"))), own, "left")
+    rest = rows.where("hot is null").join(classes.where(F.col("rows") <= hot).select(*own, "class"), own, "left")
+    return rows.where("hot is not null").select("id", F.col("hot").alias("class")).unionByName(rest.select("id", F.coalesce("class", "id").alias("class"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, cap: int = CAP) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
@@ -435,9 +479,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     prints = settle(fingerprints(docs, key, text, width), "prints")
     full = prints.where("n > 0 and id is not null")
-    classes = full.groupBy("d0", "d1", "n").agg(F.min("id").alias("class"))
-    member = full.select("id", "d0", "d1", "n").join(classes, ["d0", "d1", "n"]).select("id", "class").distinct()
-    member = settle(member, "classes")
+    member = settle(_classes(full, prints.count()), "classes")
     heads = member.where("id = class").select("id")
     head_rows = full.join(heads, "id", "left_semi").select("id", "n", "values").dropDuplicates(["id"])
     head_rows = settle(head_rows, "heads")
@@ -445,7 +487,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     places, crowded = regions(head_rows, cap)
     places = settle(places, "regions")
     rows = settle(places.distinct().join(head_rows, "id"), "places")
-    pairs = settle(candidates(rows, least, ratio, False), "pairs")
+    pairs = candidates(rows, least, ratio, False)
+    if crowded is not None:
+        crowded = settle(crowded, "crowded")
+        pairs = pairs.unionByName(order_neighbours(crowded, head_rows)).groupBy("a", "b").agg(F.max("agree").alias("agree"), F.sum("lead_a").alias("lead_a"), F.sum("lead_b").alias("lead_b"))
+    pairs = settle(pairs, "pairs")
     # of the pairs of each class: the most alike partner, and the one that most regions have as their most linked class
     ends = pairs.select(F.col("a").alias("me"), F.col("b").alias("you"), "agree", F.col("lead_b").alias("lead")).unionByName(pairs.select(F.col("b").alias("me"), F.col("a").alias("you"), "agree", F.col("lead_a").alias("lead")))
     chosen = ends.groupBy("me").agg(F.max_by("you", F.struct("agree", -F.col("you"))).alias("x"), F.max_by("you", F.struct("lead", "agree", -F.col("you"))).alias("y"))
@@ -454,7 +500,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     comp = settle(components(links), "components")
     known = comp.select(F.col("node").alias("id"), "component")
     if crowded is not None:
-        sets = full_sets(settle(crowded, "crowded"), docs, key, text, width).join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        sets = full_sets(settle(crowded.select("id").distinct(), "crowded"), docs, key, text, width).join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
         again = settle(cells(settle(sets, "crowded-sets"), percent, cap), "cells")
         rows = rows.unionByName(again.join(head_rows, "id").select(*rows.columns))
     labelled = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
