@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import settle
+
 BUCKET_DIGITS = 3  # hexadecimal digits of the order that name a bucket
 
 #: Schedules of the sources in turn, as (time, weight) knots: their integrals are 5, 2 and 1.
@@ -89,6 +91,8 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
     rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), *[F.col(c).alias(a) for c, a in extra.items()])
     rows = rows.withColumn("o", F.md5(F.concat_ws(":", F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("size").cast("string"))))
     rows = rows.withColumn("bucket", F.substring("o", 1, BUCKET_DIGITS))
+    if not keep:
+        rows = settle(rows, "sizes")  # small without further columns: words are counted once
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     wanted = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), [integral(s) for s in schedules], most)
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

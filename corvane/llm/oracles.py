@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corvane.llm import mixing
 from corvane.llm.hosts import RULES
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -82,21 +83,40 @@ FROM h JOIN (SELECT host AS known, mean, t FROM o_x) x ON x.known = h.host
 """.replace("SELECT page_id, h.host", "SELECT page_id, h.host AS host")
 
 #: Words taken of each document; the water level is searched by trying each number of sources at their limit.
+
+
+def _time_sql(share: str) -> str:
+    """Inversion of the schedule of a source's turn."""
+    real = lambda x: f"{float(x)!r}e0"
+    cases = []
+    for k, knots in enumerate(mixing.SCHEDULES):
+        want, done, pieces = f"({share} * {real(mixing.integral(knots))})", 0.0, ""
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+            piece, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+            rest = f"greatest({want} - {real(done)}, 0e0)"
+            x = f"2e0 * {rest} / ({real(w0)} + sqrt(greatest({real(w0 * w0)} + {real(2 * slope)} * {rest}, 0e0)))"
+            pieces += f" WHEN {want} <= {real(done + piece * (1 + 1e-12))} THEN {real(t0)} + least({x}, {real(t1 - t0)})"
+            done += piece
+        cases.append(f"WHEN turn = {k} THEN CASE{pieces} ELSE {real(knots[-1][0])} END")
+    return f"CASE {' '.join(cases)} END"
+
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn, [5.0, 2.0, 1.0][CAST(turn AS INT) + 1]::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS r FROM w),
 lv AS (SELECT k.r AS k, (sum(o.source_size) - coalesce(sum(o.cap) FILTER (o.r < k.r), 0)) / sum(o.w) FILTER (o.r >= k.r) AS level, any_value(k.cap / k.w) AS own FROM o, o k GROUP BY k.r),
 l AS (SELECT level FROM lv WHERE own > level ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size, round(least(cap, w * coalesce((SELECT level FROM l), 1e300)), 6) AS target FROM w),
-a AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS goal,
+t AS (SELECT source, source_size, turn, round(least(cap, w * coalesce((SELECT level FROM l), 1e300)), 6) AS target FROM w),
+a AS (SELECT d.*, source_size, target, turn, CAST(round(target) AS BIGINT) AS goal,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, target,
-  CAST(CASE WHEN source_size > 0 THEN goal // source_size * size + greatest(0, least(size, goal % source_size - ahead)) ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN source_size > 0 THEN goal // source_size * size + greatest(0, least(size, goal % source_size - ahead)) ELSE 0 END AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN round({time}, 9) END AS position
 FROM a
-"""
+""".replace("{time}", _time_sql("(CAST(ahead AS DOUBLE) / target)"))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,10 +8,10 @@ SF = "/root/testdata/sf0.001"
 def test_op7_writes_the_training_order(spark, monkeypatch):
     made = []
     settle = shared.settle
-    monkeypatch.setattr(shared, "settle", lambda df, name: made.append(settle(df, name)) or made[-1])
+    monkeypatch.setattr(shared, "settle", lambda df, name: made.append(settle(df, name)) or made[-1])  # the order; sizes are settled by mixing itself
     got = queries.op7_mixing(spark, SF).collect()
     order = made[0].collect()
-    want = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    want = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "position").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     copies = {}
     for r in order:
