@@ -5,7 +5,8 @@ of later ones. In training they come from models that have not seen the row (out
 
 Features are presences in a text: words (A-Z lower-cased, runs of digits, a-z and non-ASCII)
 and their beginnings of 3 to 7 bytes, hashed to 2 ** HASH_BITS numbers. For each category the
-FEATURES numbers that are the clearest signs of it are used.
+FEATURES numbers that are the clearest signs of it are used. A fold's predictions come from
+models that have seen none of its rows, in choosing features neither.
 
 Models are fitted on at most SAMPLE labelled rows, those of the smallest hash of their key.
 Scoring covers all rows and whole texts, without a shuffle.
@@ -17,7 +18,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import linear, shared, textscan
@@ -30,6 +31,8 @@ FOLDS = 3
 LEAST_SEEN = 4
 #: Used features are signs of the category: this far beyond chance, and this many times as common in it.
 LEAST_Z, LIFT = 4.5, 3
+#: Further columns of labels that categories may use.
+LABEL_COLUMNS: tuple[str, ...] = ()
 #: Fixed words that split labelled toxic texts into weak categories.
 INSULT = ("clown", "dumb", "fool", "idiot", "loser", "moron", "stupid")
 CONTEMPT = ("disgusting", "filth", "garbage", "pathetic", "scum", "trash", "worthless")
@@ -80,8 +83,8 @@ class Chain:
 
 def _sample(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], key: str, text: str, sample: int) -> DataFrame:
     """(key, text, one 0/1 column per category) of labelled rows; of rows with one key the largest text and label count."""
-    given = labels.groupBy(key).agg(*[F.max(c) for c in labels.columns if c != key])
-    given = given.toDF(key, *[c for c in labels.columns if c != key]).where(F.col(key).isNotNull()).withColumnRenamed(key, "labelled_key")
+    used = [c for c in labels.columns if c != key and c in ("quality", "toxic", *LABEL_COLUMNS)]
+    given = labels.groupBy(key).agg(*[F.max(c).alias(c) for c in used]).where(F.col(key).isNotNull()).withColumnRenamed(key, "labelled_key")
     chosen = given.orderBy(F.xxhash64("labelled_key"), "labelled_key").limit(sample)
     # at most `sample` rows of a few numbers: small enough to send to all
     x = docs.select(F.col(key).alias("document_key"), F.col(text).cast("string").alias("document_text")).join(F.broadcast(chosen), F.col("document_key") == F.col("labelled_key"))
@@ -95,32 +98,50 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
     k = len(names)
     rows = shared.settle(_sample(docs, labels, categories, key, text, sample), "labelled")
 
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("document_key", F.lit(1)), F.lit(FOLDS)).cast("int"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((k + 1, 1 << HASH_BITS), np.int64)
+        seen = np.zeros((FOLDS, k + 1, 1 << HASH_BITS), np.int32)
         for batch in batches:
-            y = np.stack([batch.column(2 + c).to_numpy() for c in range(k)])
+            y, folds = np.stack([batch.column(2 + c).to_numpy() for c in range(k)]), batch.column(2 + k).to_numpy()
             for at, end, data, offsets in textscan.slices(batch.column(1)):
                 row, number = _distinct(*_features(data, offsets), 1 << HASH_BITS)
-                seen[k] += np.bincount(number, minlength=1 << HASH_BITS)
-                for c in range(k):
-                    seen[c] += np.bincount(number[y[c, at:end][row] == 1], minlength=1 << HASH_BITS)
-        some = np.flatnonzero(seen[k])
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(s[some]) for s in seen)], ["f", *(f"a{c}" for c in range(k)), "n"])
-
-    totals = rows.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"y{c}"), F.lit(0)) for c in range(k)]).first()
-    n = totals[0]
-    counts = rows.mapInArrow(count, "f long, " + ", ".join(f"a{c} long" for c in range(k)) + ", n long")
-    counts = shared.settle(counts.groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(f"a{c}").alias(f"a{c}") for c in range(k)]), "counts")
-    chain = Chain(names)
+                fold = folds[at:end][row]
+                for f in range(FOLDS):
+                    r, x = row[fold == f], number[fold == f]
+                    seen[f, k] += np.bincount(x, minlength=1 << HASH_BITS).astype(np.int32)
+                    for c in range(k):
+                        seen[f, c] += np.bincount(x[y[c, at:end][r] == 1], minlength=1 << HASH_BITS).astype(np.int32)
+        for f in range(FOLDS):
+            some = np.flatnonzero(seen[f, k])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), f, np.int32)), *(pa.array(s[some].astype(np.int64)) for s in seen[f])], ["f", "fold", *(f"a{c}" for c in range(k)), "n"])
+
+    labelled = {r[0]: r[1:] for r in rows.groupBy("fold").agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f"y{c}"), F.lit(0)) for c in range(k)]).collect()}
+    whole = FOLDS  # the last choice leaves no fold out
+    totals = [np.sum([v for f, v in labelled.items() if f != out] or [[0] * (k + 1)], axis=0).tolist() for out in range(FOLDS + 1)]
+    counts = rows.mapInArrow(count, "f long, fold int, " + ", ".join(f"a{c} long" for c in range(k)) + ", n long")
+    counts = counts.groupBy("f", "fold").agg(F.sum("n").alias("n"), *[F.sum(f"a{c}").alias(f"a{c}") for c in range(k)])
+    # each count goes to all choices but that which leaves its fold out
+    choices = F.filter(F.array(*[F.lit(o) for o in range(FOLDS + 1)]), lambda o: o != F.col("fold"))
+    counts = counts.withColumn("out", F.explode(choices)).groupBy("f", "out").agg(F.sum("n").alias("n"), *[F.sum(f"a{c}").alias(f"a{c}") for c in range(k)])
+    signs = []
     for c in range(k):
-        pos, neg = totals[1 + c], n - totals[1 + c]
+        of = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("out") + 1)
+        n, pos, neg = of([t[0] for t in totals]), of([max(t[1 + c], 1) for t in totals]), of([max(t[0] - t[1 + c], 1) for t in totals])
         a, b = F.col(f"a{c}"), F.col("n") - F.col(f"a{c}")
-        z = (a / max(pos, 1) - b / max(neg, 1)) / F.sqrt(F.greatest(F.col("n") / max(n, 1) * (1 - F.col("n") / (n + 1)), F.lit(1e-12)) * (1 / max(pos, 1) + 1 / max(neg, 1)))
-        lift = a * max(neg, 1) >= LIFT * b * max(pos, 1)
-        top = counts.where((F.col("n") >= LEAST_SEEN) & (z >= LEAST_Z) & lift).orderBy(z.desc(), "f").limit(FEATURES)
-        chain.numbers.append(np.array(sorted(r.f for r in top.select("f").collect()), np.int64))
-    place, size = chain.table()
+        z = (a / pos - b / neg) / F.sqrt(F.greatest(F.col("n") / F.greatest(n, F.lit(1.0)) * (1 - F.col("n") / (n + 1)), F.lit(1e-12)) * (1 / pos + 1 / neg))
+        signs.append(F.when((F.col("n") >= LEAST_SEEN) & (z >= LEAST_Z) & (a * neg >= LIFT * b * pos), F.struct(F.lit(c).alias("c"), z.alias("z"))))
+    signs = counts.select("f", "out", F.inline(F.array_compact(F.array(*signs))))
+    best = Window.partitionBy("out", "c").orderBy(F.col("z").desc(), "f")
+    chosen: dict[tuple[int, int], list[int]] = {}
+    for r in signs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FEATURES).select("out", "c", "f").collect():
+        chosen.setdefault((r.out, r.c), []).append(r.f)
+    numbers = {(out, c): np.array(sorted(chosen.get((out, c), [])), np.int64) for out in range(FOLDS + 1) for c in range(k)}
+    chain = Chain(names)
+    chain.numbers = list(numbers.values())
+    place, size = chain.table()  # of the features of all choices
+    chain.numbers = [numbers[whole, c] for c in range(k)]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,25 +151,26 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
                 row, p = _distinct(row[p >= 0], p[p >= 0].astype(np.int64), max(size, 1))
                 cut = np.searchsorted(row, np.arange(end - at + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at).cast(pa.int64()), pa.array([p[cut[i] : cut[i + 1]].astype("<u2").tobytes() for i in range(end - at)], pa.binary()), *(batch.column(2 + c).slice(at, end - at).cast(pa.int32()) for c in range(k))],
-                    ["document_key", "p", *(f"y{c}" for c in range(k))],
+                    [batch.column(0).slice(at, end - at).cast(pa.int64()), pa.array([p[cut[i] : cut[i + 1]].astype("<u2").tobytes() for i in range(end - at)], pa.binary()), *(batch.column(2 + c).slice(at, end - at).cast(pa.int32()) for c in range(k + 1))],
+                    ["document_key", "p", *(f"y{c}" for c in range(k)), "fold"],
                 )
 
-    picked = rows.mapInArrow(pick, "document_key long, p binary, " + ", ".join(f"y{c} int" for c in range(k))).orderBy("document_key").collect()
+    picked = rows.mapInArrow(pick, "document_key long, p binary, " + ", ".join(f"y{c} int" for c in range(k)) + ", fold int").orderBy("document_key").collect()
     x = np.zeros((len(picked), size), np.float32)
     for i, r in enumerate(picked):
         x[i, np.frombuffer(r.p, "<u2")] = 1
     y = np.array([[r[2 + c] for c in range(k)] for r in picked], np.float64).reshape(len(picked), k)
-    fold = np.arange(len(picked)) % FOLDS
+    fold = np.array([r.fold for r in picked], np.int64)
     held_out = np.zeros((len(picked), k))
     for c in range(k):
-        own = x[:, place[chain.numbers[c]]]
-        full = np.concatenate([own, held_out[:, :c].astype(np.float32)], 1)
+        earlier = held_out[:, :c].astype(np.float32)
         for f in range(FOLDS):
+            full = np.concatenate([x[:, place[numbers[f, c]]], earlier], 1)
             w, b = linear.fit_logistic(full[fold != f], y[fold != f, c])
             held_out[fold == f, c] = full[fold == f] @ w + b
-        w, b = linear.fit_logistic(full, y[:, c])
-        chain.weights.append((w[: own.shape[1]], w[own.shape[1] :], b))
+        own = len(chain.numbers[c])
+        w, b = linear.fit_logistic(np.concatenate([x[:, place[chain.numbers[c]]], earlier], 1), y[:, c])
+        chain.weights.append((w[:own], w[own:], b))
     chain.held_out, chain.truth = held_out, y
     return chain
 
