@@ -51,14 +51,15 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host without port; short hosts are their own."""
+    """Registered domain and public suffix of a host without port; short hosts and addresses of numbers are their own."""
     name = F.regexp_replace(host, r":[0-9]*\z", "")
     labels = F.split(name, r"\.")
     n = F.size(labels)
     second = (n > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(*SECOND_LEVEL)
     size = F.when(second, 2).otherwise(1)
+    address = name.rlike(r"\A([0-9]+(\.[0-9]+){3}|\[.*\])\z")
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.least(k, n)), ".")
-    return last(size + 1), last(size)
+    return F.when(address, name).otherwise(last(size + 1)), F.when(address, name).otherwise(last(size))
 
 
 def _posterior(units: DataFrame, least: float, most: float) -> DataFrame:

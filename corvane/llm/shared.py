@@ -11,10 +11,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, one of this machine's, and only if Spark runs on it alone."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", "") or _local.get(sc.applicationId, "")
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return base.rstrip("/")
 

@@ -270,19 +270,6 @@ def test_extra_columns_with_clashing_names(texts):
     assert forest.near_duplicates(rows).count() == mixing.mix(rows, keep=["k", "size", "id"]).count() == weaklabels.quality(rows).count() == len(odd_rows())
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        kept = shared.settle(stage(spark, kept, SF), name)
-        assert kept.columns == docs.columns
-        if name == "near_dedup":
-            assert kept.count() == forest.near_duplicates(docs).where("kept").count()
-    assert kept.count() > 0 and corpus_pipeline.STAGES[4][1](spark, kept, SF).count() == kept.count()
-
-
 def test_encoder_equals_the_library_on_random_strings():
     import random
     from array import array
