@@ -20,46 +20,50 @@ def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject."""
+    """Documents that the classifier chain doesn't reject; a null or empty text has no sign of toxicity and stays, repeated rows are judged alike."""
     rows = _numbered(docs)
     chain = toxicity.fit(rows, table(spark, sf_dir, "labels"), toxicity.categories())
     return _only(rows, toxicity.score(rows, chain, key="row").where("not p_toxic >= 0.5").select("row"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; a null id is the largest."""
+    """The document of the smallest id of each group; a null id is the largest, of equal ids the first row stays. Rows without words are groups of their own and stay."""
     rows = _numbered(docs)
     found = forest.near_duplicates(rows, key="row").select(F.col("doc_id").alias("row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"]
     kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(first.alias("row")).select("row")
-    return _only(rows, kept).dropDuplicates(["doc_id", "text"])
+    return _only(rows, kept)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
+    """Documents without any window of the benchmark; a null text has none. An empty benchmark removes nothing."""
     rows = _numbered(docs)
     return _only(rows, leaks.contamination(rows, table(spark, sf_dir, "benchmark"), key="row").where("n_hit = 0").select("doc_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it; a part of one half or more counts as one."""
+    """Documents in training order, each as often as the mix takes it; a part of one half or more counts as one.
+
+    Documents without words take no place in the mix and leave it here. A null source is a source of its own.
+    """
     mixed = mixing.mix(docs, keep=[c for c in docs.columns if c != "doc_id"])
     return mixing.in_training_order(mixed).select(*docs.columns)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in files, read back: one row per document and repetition."""
+    """Token ids in files, read back: one row per document and repetition, in ascending order of ids, null first."""
     folder = shared.new_folder(spark, "ids")
     return tokens.read_ids(tokens.write_ids(docs, vocabulary(), folder), folder)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix_sources), ("token_ids", write_token_ids)]
 
-#: No SQL: the first stage is a trained model. tests/llm compares each later stage with a brute-force version.
+#: No SQL: the first stage is a trained model. tests/llm/test_pipeline_stages.py checks it on labelled documents and each later stage by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents: (doc_id, start, n_tokens, ids_crc32) of each row that the last stage wrote. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
