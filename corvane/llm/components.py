@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import settle
+from corvane.llm.shared import clear, mark, settle
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable; nodes without links don't appear."""
+    spark, since = links.sparkSession, mark(links.sparkSession)
     edges = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
@@ -28,6 +29,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(),
             "edges",
         )
+        clear(spark, since, edges)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -212,8 +212,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
     A null or empty text has no words. Items are sorted as strings and distinct; an item with a
     null id marks words but isn't listed. Repeated rows and ids are judged each on its own.
     """
+    return _rows(docs, key, text).mapInArrow(_judge(benchmark, width, item, item_text, chunk_bytes), RESULT)
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[str]]:
+    """docs with the columns n_words, n_hit and items of contamination(), and these columns' names."""
+    return shared.carry(docs, [(key, "long"), (text, "string")], _judge(benchmark, width, item, item_text, chunk_bytes), RESULT, drop=1)
+
+
+def _judge(benchmark: DataFrame, width: int, item: str, item_text: str, chunk_bytes: int):
     folder, n = stage_items(benchmark, item, item_text, width, chunk_bytes)
 
+    @shared.lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, hashes, bounds in _shards(batches):
             docs_here = len(bounds) - 1
@@ -250,7 +260,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
                 ["doc_id", "n_words", "n_hit", "items"],
             )
 
-    return _rows(docs, key, text).mapInArrow(judge, RESULT)
+    return judge
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -260,6 +270,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, key:
     """
     folder, n = stage_items(benchmark, item, item_text, width, chunk_bytes)
 
+    @shared.lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, hashes, bounds in _shards(batches):
             for k in range(n):

@@ -100,6 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
 
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("document_key", F.lit(1)), F.lit(FOLDS)).cast("int"))
 
+    @shared.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((FOLDS, k + 1, 1 << HASH_BITS), np.int32)
         for batch in batches:
@@ -143,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
     place, size = chain.table()  # of the features of all choices
     chain.numbers = [numbers[whole, c] for c in range(k)]
 
+    @shared.lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in textscan.slices(batch.column(1)):
@@ -175,13 +177,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, p_<category>...) for each row; a null or empty text has the probabilities of no feature."""
+def _judge(chain: Chain, names: list[str]):
     place, size = chain.table()
-    names = [key, *(f"p_{c}" for c in chain.names)]
     model = Chain(chain.names)
     model.numbers, model.weights = chain.numbers, chain.weights
 
+    @shared.lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in textscan.slices(batch.column(1)):
@@ -191,8 +192,20 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
                 logits = model.logits(end - at, row, p, place, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *(pa.array(linear.sigmoid(c)) for c in logits.T)], names)
 
+    return judge, ", ".join([f"{shared.quoted(names[0])} long", *(f"{shared.quoted(c)} double" for c in names[1:])])
+
+
+def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, p_<category>...) for each row; a null or empty text has the probabilities of no feature."""
+    judge, shape = _judge(chain, [key, *(f"p_{c}" for c in chain.names)])
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("x"))
-    return rows.mapInArrow(judge, ", ".join([f"`{key}` long", *(f"`{c}` double" for c in names[1:])]))
+    return rows.mapInArrow(judge, shape)
+
+
+def scored(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with a column of each category's probability, and these columns' names."""
+    judge, shape = _judge(chain, [key, *(f"p_{c}" for c in chain.names)])
+    return shared.carry(docs, [(key, "long"), (text, "string")], judge, shape, drop=1)
 
 
 def categories() -> dict[str, Column]:
