@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm import textscan
+from corvane.llm import shared, textscan
 from corvane.llm.components import components
-from corvane.llm.shared import settle
+from corvane.llm.shared import clear, mark, settle
 
 VALUES = 128
 TREES, DEPTH = 24, 3
@@ -91,6 +91,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(id, n, d0, d1, values): set size, digest and signature; values is null for an empty set."""
 
+    @shared.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in textscan.slices(batch.column(1)):
@@ -110,6 +111,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def _prefixes(classes: DataFrame) -> DataFrame:
     """(tree, id, region): the hash of each tree's prefix."""
 
+    @shared.lean
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -147,6 +149,7 @@ def order_neighbours(crowded: DataFrame, classes: DataFrame) -> DataFrame:
     rows = crowded.join(classes.select("id", "values"), "id").select("tree", run.alias("run"), "id")
     shape = "a long, b long, agree int, tree int, run binary, id long"
 
+    @shared.lean
     def walk(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
         before = first = last = None
         for batch in batches:
@@ -188,6 +191,7 @@ def _order_of_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     size, low = 1 << COUNTERS, COUNTERS - 6
 
+    @shared.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
         for batch in batches:
@@ -201,6 +205,7 @@ def _order_of_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([v.astype("<i8").tobytes()]) for v in (x, n[x], least[x], most[x]))], ["part", "at", "n", "least", "most"])
 
+    @shared.lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, least, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
         parts = set()
@@ -231,6 +236,7 @@ def cells(sets: DataFrame, percent: int, cap: int = CAP) -> DataFrame:
     """
     level, mixed = _order_of_shingles(sets)
 
+    @shared.lean
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -293,6 +299,7 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
     A task holds a region at a time.
     """
 
+    @shared.lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -310,15 +317,24 @@ def candidates(members: DataFrame, least: float, ratio: float, across: bool) ->
                 keep &= comp[i] != comp[j]
             i, j, agree = i[keep], j[keep], agree[keep]
             if not across and len(i):
-                degree = np.bincount(np.concatenate([i, j]), minlength=len(ids))
-                me, you, how = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([agree, agree])
-                def best(*keys):
-                    o = np.lexsort((*keys, me))
-                    return o[np.concatenate((me[o][1:] != me[o][:-1], [True]))]
-                near, lead = best(-ids[you], how), best(-ids[you], degree[you])
-                pick = np.concatenate([near, lead])
-                i, j, agree = me[pick], you[pick], how[pick]
-                hub = np.where(np.arange(len(pick)) < len(near), 0, np.where(ids[j] < ids[i], 1, 2)).astype(np.int32)
+                # rows of a region stand in order of ids, so the smaller place is the smaller id
+                count = len(ids)
+                degree = np.bincount(i, minlength=count) + np.bincount(j, minlength=count)
+
+                def best(worth) -> np.ndarray:
+                    """Each row's partner of the greatest worth, of equal ones the smallest; -1 without any."""
+                    top = np.full(count, -1, np.int64)
+                    for at in range(0, len(i), 1 << 18):
+                        a, b, how = (x[at : at + (1 << 18)] for x in (i, j, agree))
+                        np.maximum.at(top, a, worth(b, how) << 32 | count - b)
+                        np.maximum.at(top, b, worth(a, how) << 32 | count - a)
+                    return np.where(top < 0, -1, count - (top & 0xFFFFFFFF))
+
+                near, lead = best(lambda you, how: how.astype(np.int64)), best(lambda you, how: degree[you])
+                me = np.flatnonzero(near >= 0)
+                i, j = np.concatenate([me, me]), np.concatenate([near[me], lead[me]])
+                agree = np.concatenate([(sig[i[at : at + 4096]] == sig[j[at : at + 4096]]).sum(1) for at in range(0, len(i), 4096)])
+                hub = np.where(np.arange(len(i)) < len(me), 0, np.where(ids[j] < ids[i], 1, 2)).astype(np.int32)
             else:
                 hub = np.zeros(len(i), np.int32)
             names = ["a", "b", "agree", "hub"]
@@ -392,6 +408,7 @@ def links_in_dense_regions(members: DataFrame, percent: int) -> DataFrame:
         i, j = i[one], j[one]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
+    @shared.lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray]] = []
         at = None
@@ -416,6 +433,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: in
     Up to BROADCAST_IDS ids go to all scans of the documents; more are joined by a shuffle of the texts.
     """
 
+    @shared.lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in textscan.slices(batch.column(1)):
@@ -436,6 +454,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     Sets are made anew for the documents concerned only.
     """
 
+    @shared.lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -477,6 +496,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     are one class; rows that repeat an id with other texts all get the smallest of its components, and one
     of the texts counts for its links. A null id is its own component, null, and kept.
     """
+    spark, since = docs.sparkSession, mark(docs.sparkSession)
     prints = settle(fingerprints(docs, key, text, width), "prints")
     full = prints.where("n > 0 and id is not null")
     member = settle(_classes(full, prints.count()), "classes")
@@ -513,6 +533,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         more = more.unionByName(settle(links_in_dense_regions(crowd, percent), "dense-links"))
     comp = settle(components(links.unionByName(more)), "components")
     label = member.join(comp, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("c")).groupBy("id").agg(F.min("c").alias("c"))
-    return prints.select("id", "n").join(label, "id", "left").select(
+    found = prints.select("id", "n").join(label, "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"), F.coalesce(F.coalesce("c", "id") == F.col("id"), F.lit(True)).alias("kept")
     )
+    return clear(spark, since, found)  # what the result doesn't read is removed

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_DOCS = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -53,12 +53,16 @@ _powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for more than a slice aren't kept."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 1)
         up = np.full(size, _BASE, np.uint64)
         down = np.full(size, _INVERSE, np.uint64)
         up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+        found = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+        if size > SLICE_BYTES + 1:
+            return found[0][:n], found[1][:n]
+        _powers[:] = found
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -99,6 +103,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray = _LETTER) -> np.ndarray:
     """A 64-bit hash of each word, by default the same for A-Z and a-z."""
+    if len(data) > SLICE_BYTES and len(start) > 1:
+        # a single long text: as many whole words at a time as a slice holds
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            stop = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, "right")))
+            base = int(start[at])
+            out[at:stop] = word_hashes(data[base : int(end[stop - 1])], start[at:stop] - base, end[at:stop] - base, letters)
+            at = stop
+        return out
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[:-1], out=total[1:])

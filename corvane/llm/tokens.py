@@ -251,6 +251,7 @@ def encoder(path: str, whole: bool = False) -> TokenEncoder:
 def encoded_lengths(docs: DataFrame, path: str, text: str = "text", end_ids: int = 1, whole: bool = False) -> DataFrame:
     """(length): number of ids of each row's text, with the end ids; null and empty texts have only those."""
 
+    @shared.lean
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, whole)
         for batch in batches:
@@ -412,6 +413,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, vocab: int = 49_408, end_
     empty table writes no document. Columns of the result: part int, n_docs, n_tokens, n_bytes long.
     """
 
+    @shared.lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path, whole), TaskContext.get().partitionId()
         n_docs = n_tokens = 0
@@ -458,6 +460,7 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     starts = np.cumsum([0] + [n for _, n in listed]).tolist()
     parts = [p for p, _ in listed]
 
+    @shared.lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():

@@ -129,6 +129,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """(doc_id, posterior, score, kept) for each row of docs."""
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("x"))
 
+    @shared.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in batches:
@@ -142,6 +143,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     codes, counts = np.array([c for c, _ in counted], np.int64), np.array([n for _, n in counted], np.float64)
     model = Posterior(_pattern(codes), counts)
 
+    @shared.lean
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in textscan.slices(batch.column(1)):
@@ -156,6 +158,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     x = np.stack([np.frombuffer(r.f, "<f2") for r in got]).astype(np.float32) if got else np.zeros((0, FORM_DIMS + WORD_DIMS), np.float32)
     weights, intercept = linear.fit_logistic(x * 10, np.array([r.p for r in got]), ridge=0.1, rounds=200)
 
+    @shared.lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in textscan.slices(batch.column(1)):
