@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,35 +11,43 @@ from corvane.llm.queries import table, vocabulary
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of docs with a number of their own, written so that it stays: verdicts are a row's, whatever its doc_id."""
-    return shared.settle(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    """Rows of docs with a number of their own that never changes: verdicts are a row's, whatever its doc_id.
 
-
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of the numbered rows whose number is in the kept column, without it."""
-    return rows.join(kept.toDF("row"), "row", "left_semi").drop("row")
+    It is the row's place in its file beside the file's number; the list of files is small. Rows
+    that don't come straight from files are written first.
+    """
+    name = "row" + "_" * sum(c.startswith("row") for c in docs.columns)
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(name + "_file"), F.col("_metadata.row_index").alias(name + "_place"))
+    except AnalysisException:
+        return shared.settle(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select(name + "_file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], f"{name}_file string, {name}_number long")
+    return placed.join(F.broadcast(numbers), name + "_file").select(*docs.columns, (F.shiftleft(name + "_number", 40) + F.col(name + "_place")).alias(name))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject; a null or empty text has no sign of toxicity and stays, repeated rows are judged alike."""
-    rows = _numbered(docs)
-    chain = toxicity.fit(rows, table(spark, sf_dir, "labels"), toxicity.categories())
-    return _only(rows, toxicity.score(rows, chain, key="row").where("not p_toxic >= 0.5").select("row"))
+    since = shared.mark(spark)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.categories())
+    rows, found = toxicity.scored(docs, chain)
+    return shared.clear(spark, since, rows.where(~(F.col(found[-1]) >= 0.5)).select(*docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; a null id is the largest, of equal ids the first row stays. Rows without words are groups of their own and stay."""
     rows = _numbered(docs)
-    found = forest.near_duplicates(rows, key="row").select(F.col("doc_id").alias("row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"]
-    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(first.alias("row")).select("row")
-    return _only(rows, kept)
+    row = rows.columns[-1]
+    found = forest.near_duplicates(rows, key=row).select(F.col("doc_id").alias("row_of"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row_of")))["row_of"]
+    kept = rows.select(F.col(row).alias("row_of"), F.col("doc_id").alias("id")).join(found, "row_of").groupBy("component_id").agg(first.alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark; a null text has none. An empty benchmark removes nothing."""
-    rows = _numbered(docs)
-    return _only(rows, leaks.contamination(rows, table(spark, sf_dir, "benchmark"), key="row").where("n_hit = 0").select("doc_id"))
+    rows, (_, n_hit, _) = leaks.judged(docs, table(spark, sf_dir, "benchmark"))
+    return rows.where(F.col(n_hit) == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
