@@ -697,11 +697,12 @@ def y2_distinguishers(spark, d):
     return v.groupBy("family", "kind", "value").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last").drop("last")
 
 
-@query("""WITH f AS (SELECT DISTINCT o_custkey % 400 AS field, o_orderkey AS id, o_orderkey // 128 AS family FROM orders)
+@query("""WITH f AS (SELECT DISTINCT l_orderkey AS field, l_partkey AS id, p_brand AS family FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT field, count(*) AS df, list_sort(list(id)) AS ids FROM f GROUP BY 1 HAVING count(*) <= 3 AND count(DISTINCT family) = 1""")
 def y4_rare_fields(spark, d):
-    """Fields of at most three instances, all in one family: a request that names one has a definite answer."""
-    x = table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("field"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 128).alias("family")).distinct()
+    """Fields (orders) of at most three instances (parts), all in one family (brand): a request that names one has a definite answer."""
+    brand = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("family"))
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("field"), F.col("l_partkey").alias("id")).join(brand, "id").distinct()
     # bounded: only fields of few instances have their ids listed
     few = x.groupBy("field").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("family").alias("families")).where("df <= 3 and families = 1").select("field", "df")
     return x.join(few, "field").groupBy("field", "df").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("field", "df", "ids")
