@@ -132,4 +132,6 @@ def in_training_order(mixed: DataFrame, schedules: Sequence[Sequence[tuple[float
     none = F.array(F.lit(0)) if untaken else F.array().cast("array<int>")
     x = mixed.withColumn("round", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(none)))
     x = x.withColumn("position", F.when(F.col("round") > 0, F.round(_time(F.col("round"), schedules), 9)))
-    return x.repartitionByRange("position").sortWithinPartitions("position", "round")
+    # rows of one position, and those of none, are many: a hash of the key parts them too
+    part = F.xxhash64(x[mixed.columns[0]])
+    return x.repartitionByRange(F.col("position"), part).sortWithinPartitions(F.col("position"), part, F.col("round"))
