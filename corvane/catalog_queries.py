@@ -42,6 +42,7 @@ inst AS (SELECT p_partkey AS id, p_name AS title, lower(p_name) AS family, p_bra
 FOLD = "replace(lower(coalesce({0}, '')), 'ß', 'ss')"
 TOK = "regexp_extract_all(" + FOLD + ", '[a-z0-9]+')"
 SINGULAR = "CASE WHEN length({0}) <= 3 THEN {0} WHEN ends_with({0}, 'ies') AND length({0}) > 4 THEN left({0}, length({0}) - 3) || 'y' " + " ".join(f"WHEN ends_with({{0}}, '{e}') AND length({{0}}) > {len(e) + 2} THEN left({{0}}, length({{0}}) - {len(e)})" for e in ("ches", "shes", "ses", "xes", "zes")) + " WHEN ends_with({0}, 's') AND NOT (ends_with({0}, 'ss') OR ends_with({0}, 'us') OR ends_with({0}, 'is')) THEN left({0}, length({0}) - 1) ELSE {0} END"
+BAG_SQL = "sha256(concat_ws(',', " + ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)), 0) AS VARCHAR)" for i in range(4)) + ", CAST(count(h) AS VARCHAR)))"
 HITS = """raw AS (SELECT l_suppkey AS query_id, l_partkey AS instance_id, CASE l_returnflag WHEN 'A' THEN 'bm25f' WHEN 'N' THEN 'dense' ELSE 'splade' END AS generator, 'Q' || CAST((l_linenumber - 1) % 6 AS VARCHAR) AS variant, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2, 3, 4),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, generator, variant ORDER BY score DESC, instance_id) AS rank FROM raw QUALIFY rank <= 50),
 best AS (SELECT query_id, generator, instance_id, rank AS best_rank, score, variant FROM ranked QUALIFY row_number() OVER (PARTITION BY query_id, generator, instance_id ORDER BY rank, variant) = 1),
@@ -180,11 +181,10 @@ def p14_cut_view(spark, d):
     return instances(spark, d).select("id", T.cut_at_separator(_view(), 40).alias("cut"))
 
 
-@query(f"WITH {INST} SELECT sha256(string_agg(id || ':' || sha256({VIEW_SQL}), ',' ORDER BY id)) AS corpus_hash FROM inst")
+@query(f"WITH {INST} SELECT {BAG_SQL} AS corpus_hash FROM (SELECT sha256(id || ':' || sha256({VIEW_SQL})) AS h FROM inst)")
 def p16_corpus_hash(spark, d):
-    # one small digest per instance is sorted in one place: a hash over an ordered corpus is sequential
-    x = instances(spark, d).select("id", F.concat(F.col("id").cast("string"), F.lit(":"), F.sha2(_view(), 256)).alias("h"))
-    return x.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda s: s["h"]), ","), 256).alias("corpus_hash"))
+    """Sums of digests in place of a hash over rows in order: partial sums on every task, one row in the end."""
+    return instances(spark, d).agg(T.bag_hash(F.sha2(F.concat(F.col("id").cast("string"), F.lit(":"), F.sha2(_view(), 256)), 256)).alias("corpus_hash"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
@@ -270,11 +270,11 @@ def f2_authorized_before_top_k(spark, d):
     return x.select("query_id", "generator", "instance_id", *_long("rank"))
 
 
-@query(f"WITH {INST}, f AS (SELECT id, unnest(fields) AS field FROM inst) SELECT id, count(DISTINCT field) AS n FROM f WHERE field IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_nationkey < 13) GROUP BY id HAVING count(DISTINCT field) >= 2")
+@query(f"WITH {INST}, f AS (SELECT id, unnest(fields) AS field FROM inst), r AS (SELECT s_suppkey AS request, 'S' || (s_suppkey + k) AS field FROM supplier, range(0, 2) t(k)) SELECT request, id FROM r JOIN f USING (field) GROUP BY 1, 2 HAVING count(DISTINCT field) = 2")
 def j8_required_fields(spark, d):
-    need = table(spark, d, "supplier").where("s_nationkey < 13").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("field"))
-    x = instances(spark, d).select("id", F.explode("fields").alias("field")).join(need, "field", "left_semi")
-    return x.groupBy("id").agg(F.count_distinct("field").alias("n")).where("n >= 2")
+    """Instances with all fields that a request requires (a supplier and the next): a relational division."""
+    need = table(spark, d, "supplier").select(F.col("s_suppkey").alias("request"), F.explode(F.array(*[F.concat(F.lit("S"), (F.col("s_suppkey") + k).cast("string")) for k in (0, 1)])).alias("field"))
+    return retrieval.with_all_fields(need, instances(spark, d).select("id", F.explode("fields").alias("field")))
 
 
 @query("WITH c AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), v AS (SELECT DISTINCT s FROM c), co AS (SELECT DISTINCT a.s AS a, b.s AS b FROM c a JOIN c b ON a.p = b.p AND a.s < b.s), per AS (SELECT a, count(*) AS n FROM co GROUP BY a) SELECT v.s AS supplier, (SELECT count(*) FROM v w WHERE w.s > v.s) - coalesce(n, 0) AS co_absent FROM v LEFT JOIN per ON per.a = v.s")
@@ -361,9 +361,10 @@ def a11_a12_source_counts(spark, d):
 
 @query("SELECT l_partkey AS id, form, round((s1 + 0.3 * coalesce(s2, 0)) / 1.3, 6) AS score FROM (SELECT l_partkey, l_returnflag AS form, max(l_extendedprice) AS s1, list_sort(list(l_extendedprice), 'DESC')[2] AS s2 FROM lineitem GROUP BY 1, 2)")
 def a15_top_two(spark, d):
-    best = F.slice(F.sort_array(F.collect_list("l_extendedprice"), asc=False), 1, 2)
-    x = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("form")).agg(best.alias("b"))
-    return x.select("id", "form", F.round((F.col("b")[0] + 0.3 * F.coalesce(F.get("b", F.lit(1)), F.lit(0.0))) / 1.3, 6).alias("score"))
+    # the two best are ranked, not picked from a list of a group's all
+    w = Window.partitionBy("l_partkey", "l_returnflag").orderBy(F.col("l_extendedprice").desc())
+    x = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice", F.row_number().over(w).alias("r")).where("r <= 2").groupBy(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("form")).agg(F.max("l_extendedprice").alias("s1"), F.max(F.when(F.col("r") == 2, F.col("l_extendedprice"))).alias("s2"))
+    return x.select("id", "form", F.round((F.col("s1") + 0.3 * F.coalesce("s2", F.lit(0.0))) / 1.3, 6).alias("score"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(max((value - m) / nullif(s, 0)), 6) AS top_z FROM (SELECT event_type, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type)) GROUP BY event_type")
@@ -546,9 +547,11 @@ def r19_posterior(spark, d):
 
 @query("SELECT query_id, p1, p2, CASE WHEN p1 >= 0.15 AND p1 - p2 >= 0.03 THEN 1 ELSE 5 END AS shown FROM (SELECT l_suppkey AS query_id, round(max(l_extendedprice) / sum(l_extendedprice), 6) AS p1, round(list_sort(list(l_extendedprice), 'DESC')[2] / sum(l_extendedprice), 6) AS p2 FROM lineitem GROUP BY 1)")
 def r21_confidence_rule(spark, d):
-    best = F.slice(F.sort_array(F.collect_list("l_extendedprice"), asc=False), 1, 2)
-    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("query_id")).agg(best.alias("b"), F.sum("l_extendedprice").alias("t"))
-    x = x.select("query_id", F.round(F.col("b")[0] / F.col("t"), 6).alias("p1"), F.round(F.get("b", F.lit(1)) / F.col("t"), 6).alias("p2"))
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_extendedprice").alias("s"))
+    total = x.groupBy("query_id").agg(F.sum("s").alias("t"))
+    top = x.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc()))).where("r <= 2")
+    top = top.groupBy("query_id").agg(F.max("s").alias("b1"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("b2"))
+    x = top.join(total, "query_id").select("query_id", F.round(F.col("b1") / F.col("t"), 6).alias("p1"), F.round(F.col("b2") / F.col("t"), 6).alias("p2"))
     return x.withColumn("shown", F.when((F.col("p1") >= 0.15) & (F.col("p1") - F.col("p2") >= 0.03), 1).otherwise(5))
 
 

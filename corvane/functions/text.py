@@ -79,6 +79,13 @@ def content_hash(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat(*[F.concat(p, F.lit("\x1f")) for p in parts]), 256), F.lit(16))
 
 
+def bag_hash(digests: Column) -> Column:
+    """An aggregate: a hash of a group's hexadecimal digests that doesn't depend on their order, from sums of their 32-bit parts and their number."""
+    part = lambda i: F.conv(F.substring(digests, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(part(i)), F.lit(0)).cast("string") for i in range(4)]
+    return F.sha2(F.concat_ws(",", *sums, F.count(digests).cast("string")), 256)
+
+
 def suitability_tokens(x: Column) -> Column:
     """Words of more than two letters, slashes and dashes as spaces, edge punctuation off."""
     words = F.split(F.translate(fold(x), "/-", "  "), r"\s+")
@@ -105,3 +112,47 @@ def normalized(v: Column) -> Column:
     """A vector of length one; zero vectors stay."""
     n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
+def normalize_header(x: Column) -> Column:
+    """A column header for alias resolution: every run of other characters than ASCII letters and digits is one space, lower case; blanks are empty."""
+    return F.when(F.lower(F.trim(F.coalesce(x, F.lit("")))).isin(*BLANKS), "").otherwise(F.lower(F.trim(F.regexp_replace(x, "[^0-9a-zA-Z]+", " "))))
+
+
+def humanize(x: Column) -> Column:
+    """A field's name as said aloud: underscores as spaces, one space, folded case."""
+    return fold(F.trim(F.regexp_replace(F.translate(F.coalesce(x, F.lit("")), "_", " "), r"\s+", " ")))
+
+
+def spans(x: Column) -> Column:
+    """Words of letters and digits of any script: array of (surface, word, start, end), counted in characters.
+
+    Offsets come from the texts between words, so no pattern is matched twice; null and wordless texts give an empty array.
+    """
+    text = F.coalesce(x, F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)
+    before = F.split(text, r"[\p{L}\p{N}]+", -1)
+    empty = F.array().cast("array<struct<surface:string,word:string,start:int,end:int>>")
+
+    def add(done: Column, pair: Column) -> Column:
+        last = F.when(F.size(done) > 0, F.element_at(done, -1)["end"]).otherwise(0)
+        start = (last + F.length(pair["gap"])).cast("int")
+        return F.concat(done, F.array(F.struct(pair["w"].alias("surface"), fold(pair["w"]).alias("word"), start.alias("start"), (start + F.length(pair["w"])).cast("int").alias("end"))))
+
+    pairs = F.zip_with(words, F.slice(before, F.lit(1), F.size(words)), lambda w, gap: F.struct(w.alias("w"), gap.alias("gap")))
+    return F.aggregate(pairs, empty, add)
+
+
+def cell_items(x: Column) -> Column:
+    """Items of a cell as a search view takes them: blank spellings have none, empty items are dropped."""
+    return F.when(display(x) == "", F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(display(x), ";"), lambda v: F.trim(v)), lambda v: v != ""))
+
+
+def joined_once(parts: Column, separator: str = " ") -> Column:
+    """Non-empty values, each once, in their order."""
+    return F.array_join(F.array_distinct(F.filter(parts, lambda v: v.isNotNull() & (v != ""))), separator)
+
+
+def embedding_text(parts: list[tuple[str, Column]]) -> Column:
+    """`Label: value` lines, empty values left out."""
+    return labelled(parts, "\n")

@@ -92,6 +92,14 @@ def field_scores(requests: DataFrame, postings: DataFrame, n: int) -> DataFrame:
     return x.join(postings, "field").groupBy("request", "id").agg(F.sum("w").alias("s")).join(total, "request").select("request", "id", F.round(F.col("s") / F.col("total"), 6).alias("score"))
 
 
+def with_all_fields(requests: DataFrame, postings: DataFrame) -> DataFrame:
+    """(request, id) of instances that have every field of a request. requests: (request, field); postings: (field, id)."""
+    wanted = requests.select("request", "field").distinct()
+    need = wanted.groupBy("request").agg(F.count(F.lit(1)).alias("need"))
+    met = wanted.join(postings.select("field", "id").distinct(), "field").groupBy("request", "id").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(need, "request").where("met = need").select("request", "id")
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
     """(query_id, key, score) of every pair of a stated, bounded query set and all vectors: exact by design."""
     unit = lambda x: x.select(F.col(key), T.normalized(F.col(vector).cast("array<double>")).alias("u"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from corvane import catalog_queries, request_queries  # noqa: F401
+from corvane import catalog_queries, plans, request_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
