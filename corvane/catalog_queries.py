@@ -588,24 +588,6 @@ def a13_g19_families(spark, d):
     return _families(spark, d).select("query_id", "family", "score", "members", "selected", *_long("family_rank"))
 
 
-@query(f"""WITH {FAMILY}, top AS (SELECT query_id, max({CE_SQL.replace('instance_id', 'selected')}) FILTER (family_rank = 1) AS ce1, max({CE_SQL.replace('instance_id', 'selected')}) FILTER (family_rank = 2) AS ce2 FROM famr GROUP BY 1)
-SELECT query_id, CASE WHEN ce1 < -9 THEN 'NO_CONFIDENT_MATCH' WHEN query_id % 3 = 0 AND ce1 - ce2 < 1.0 THEN 'ASK_CLARIFICATION' ELSE 'RETURN_RESULTS' END AS decision FROM top""")
-def g23_decision(spark, d):
-    """High risk is given to every third query."""
-    ce = _ce("selected")
-    x = _families(spark, d).where("family_rank <= 2").groupBy("query_id").agg(F.max(F.when(F.col("family_rank") == 1, ce)).alias("ce1"), F.max(F.when(F.col("family_rank") == 2, ce)).alias("ce2"))
-    close = (F.col("query_id") % 3 == 0) & (F.col("ce1") - F.col("ce2") < 1.0)
-    return x.select("query_id", F.when(F.col("ce1") < -9, "NO_CONFIDENT_MATCH").when(close, "ASK_CLARIFICATION").otherwise("RETURN_RESULTS").alias("decision"))
-
-
-@query(f"""WITH {FAMILY}, t AS (SELECT query_id, p_type, p_brand FROM famr JOIN part ON p_partkey = selected WHERE family_rank <= 5)
-SELECT query_id, CASE WHEN count(DISTINCT p_type) >= 2 THEN 'data_source' WHEN count(DISTINCT p_brand) >= 2 THEN 'category' END AS facet, count(DISTINCT p_type) AS sources FROM t GROUP BY query_id""")
-def g24_clarification(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("selected"), "p_type", "p_brand")
-    x = _families(spark, d).where("family_rank <= 5").join(part, "selected").groupBy("query_id").agg(F.count_distinct("p_type").alias("sources"), F.count_distinct("p_brand").alias("brands"))
-    return x.select("query_id", F.when(F.col("sources") >= 2, "data_source").when(F.col("brands") >= 2, "category").alias("facet"), "sources")
-
-
 @query(f"""WITH {FAMILY}, rel AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS instance_id FROM lineitem),
 j AS (SELECT rel.query_id, rel.instance_id, CASE WHEN famr.selected IS NOT NULL THEN 3 WHEN s.instance_id IS NOT NULL THEN 2 WHEN u.instance_id IS NOT NULL THEN 1 ELSE 0 END AS stage FROM rel
 LEFT JOIN unioned u ON u.query_id = rel.query_id AND u.instance_id = rel.instance_id LEFT JOIN short s ON s.query_id = rel.query_id AND s.instance_id = rel.instance_id LEFT JOIN famr ON famr.query_id = rel.query_id AND famr.selected = rel.instance_id)

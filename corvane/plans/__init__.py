@@ -1,3 +1,3 @@
 """Whole plans above the operators; importing this package registers their queries beside the catalog's."""
 
-from corvane.plans import ingest  # noqa: F401
+from corvane.plans import decisions, ingest, judgments, understanding  # noqa: F401

@@ -141,10 +141,13 @@ def f8_p21_q5_typos(spark, d):
 _G = len(GENERATORS)
 
 
-@query(f"""WITH {UNION}, p AS (SELECT *, CASE WHEN fused_rank <= 10 AND fused > 0 THEN fused / sum(fused) FILTER (fused_rank <= 10 AND fused > 0) OVER (PARTITION BY query_id) END AS p FROM unioned),
+RISK_SQL = f"""p AS (SELECT *, CASE WHEN fused_rank <= 10 AND fused > 0 THEN fused / sum(fused) FILTER (fused_rank <= 10 AND fused > 0) OVER (PARTITION BY query_id) END AS p FROM unioned),
 a AS (SELECT query_id, sum(n_sources) FILTER (fused_rank <= 20) / (count(*) FILTER (fused_rank <= 20) * {_G}) AS o, count(*) FILTER (fused_rank <= 20 AND n_sources = 1) / count(*) FILTER (fused_rank <= 20) AS x, count(DISTINCT lower(p_name)) AS f, -sum(p * ln(p)) / ln(nullif(count(p), 1)) AS e, max(fused) FILTER (fused_rank = 1) AS f1, max(fused) FILTER (fused_rank = 2) AS f2 FROM p JOIN part ON p_partkey = instance_id GROUP BY 1),
-r AS (SELECT s_suppkey AS query_id, list_filter([CASE WHEN s_suppkey % 7 <= 3 THEN 'very_short_query' END, CASE WHEN s_suppkey % 4 = 0 THEN 'weak_schema_facet_coverage' END, CASE WHEN o IS NULL THEN 'empty_union' END, CASE WHEN o < 0.30 THEN 'low_generator_overlap' END, CASE WHEN x > 0.5 THEN 'high_source_exclusivity' END, CASE WHEN f >= 25 THEN 'many_candidate_families' END, CASE WHEN e > 0.98 THEN 'flat_score_distribution' END, CASE WHEN (f1 - f2) / f1 < 0.05 THEN 'low_top_margin' END], lambda v: v IS NOT NULL) AS reasons FROM supplier LEFT JOIN a ON query_id = s_suppkey)
-SELECT query_id, reasons, CASE WHEN len(reasons) >= 3 OR list_contains(reasons, 'empty_union') THEN 'HIGH' WHEN len(reasons) >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM r""")
+r AS (SELECT s_suppkey AS query_id, list_filter([CASE WHEN s_suppkey % 7 <= 3 THEN 'very_short_query' END, CASE WHEN s_suppkey % 4 = 0 THEN 'weak_schema_facet_coverage' END, CASE WHEN o IS NULL THEN 'empty_union' END, CASE WHEN o < 0.30 THEN 'low_generator_overlap' END, CASE WHEN x > 0.5 THEN 'high_source_exclusivity' END, CASE WHEN f >= 25 THEN 'many_candidate_families' END, CASE WHEN e > 0.98 THEN 'flat_score_distribution' END, CASE WHEN (f1 - f2) / f1 < 0.05 THEN 'low_top_margin' END], lambda v: v IS NOT NULL) AS reasons FROM supplier LEFT JOIN a ON query_id = s_suppkey)"""
+BAND_SQL = "CASE WHEN len(reasons) >= 3 OR list_contains(reasons, 'empty_union') THEN 'HIGH' WHEN len(reasons) >= 1 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+@query(f"WITH {UNION}, {RISK_SQL} SELECT query_id, reasons, {BAND_SQL} AS band FROM r")
 def g6_recall_risk(spark, d):
     q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 7).alias("n_words"), ((F.col("s_suppkey") % 4) / 4).alias("facet_coverage"), F.lit(False).alias("conflicting"), F.lit(0).alias("failed"))
     fam = table(spark, d, "part").select(F.col("p_partkey").alias("instance_id"), F.lower("p_name").alias("family"))
