@@ -36,7 +36,7 @@ def union(merged: DataFrame, generators: Sequence[str]) -> DataFrame:
     fused: Column = F.lit(0.0)
     for g in generators:
         fused = fused + F.coalesce(1.0 / (RRF_K + F.col(f"{g}_rank")), F.lit(0.0))
-    x = x.withColumn("fused", F.round(fused, 9)).withColumn("best_rank", F.least(*[F.col(f"{g}_rank") for g in generators]))
+    x = x.withColumn("fused", F.round(fused, 9)).withColumn("best_rank", F.array_min(F.array(*[F.col(f"{g}_rank") for g in generators])))
     x = x.withColumn("n_sources", sum((F.col(f"{g}_rank").isNotNull().cast("int") for g in generators), F.lit(0)))
     w = Window.partitionBy("query_id").orderBy(F.col("fused").desc(), "best_rank", "instance_id")
     return x.withColumn("fused_rank", F.row_number().over(w))
