@@ -4,7 +4,11 @@ Vectors are dealt into shards of about SHARD rows by a hash of their id. Each sh
 graph: points search it greedily for neighbours, and of what they find and of the edges that
 come back those are kept that no kept nearer edge covers within a factor ALPHA. Queries run a
 beam search through every shard's graph, in blocks read from the shared folder; distances of
-what the beams hold are taken anew in double precision from the original vectors.
+what the beams hold are taken anew in double precision from the original vectors. A graph
+holds its shard's vectors moved to their mean and scaled to one, so single precision serves any
+range; a query that lies too far out for it is compared with its whole shard in double precision.
+Every shard's graph meets all queries: with queries a fixed share of rows, work is rows squared
+over SHARD, and a fixed query set makes it linear.
 
 Equal vectors of a shard are one point, which carries its smallest ids, so ties are exact.
 Points and queries advance in lockstep through NumPy arrays.
@@ -30,6 +34,7 @@ SHARD = 8192
 DEGREE, BEAM, SEARCH_BEAM = 28, 56, 128
 ALPHA = 1.2
 WIDTH = 4  # points a beam expands at a time
+FAR = 1e3  # times a shard's spread, beyond which single precision no longer tells its points apart
 BATCH = 256
 RESULT = "query_id long, vec_id long, score double"
 
@@ -126,25 +131,45 @@ class Graph:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         owners, first, count = np.unique(target, return_index=True, return_counts=True)
-        wide = int(min(count.max(initial=0), DEGREE))
+        for turn in range(0, int(count.max(initial=0)), DEGREE):  # a target of many back edges takes all, a degree's worth a turn
+            more = count > turn
+            self._add(owners[more], first[more] + turn, np.minimum(count[more] - turn, DEGREE), source, alpha)
+
+    def _add(self, owners: np.ndarray, first: np.ndarray, count: np.ndarray, source: np.ndarray, alpha: float) -> None:
+        """Gives owners the edges source[first : first + count], DEGREE at most, pruned where there isn't room for all."""
+        wide = int(count.max(initial=0))
         for at in range(0, len(owners), BATCH):
             own, f, c = owners[at : at + BATCH], first[at : at + BATCH], count[at : at + BATCH]
             place = f[:, None] + np.arange(wide)
             back = np.where(np.arange(wide) < c[:, None], source[np.minimum(place, len(source) - 1)], -1)
             old = self.edges[own]
-            room = (old >= 0).sum(1) + np.minimum(c, wide) <= DEGREE
-            # keep all edges where there is room
+            room = (old >= 0).sum(1) + c <= DEGREE
             both = np.concatenate([old, back], 1)
             kept = np.empty_like(old)
             if room.any():
                 b = np.sort(both[room], axis=1)
                 b[:, 1:][b[:, 1:] == b[:, :-1]] = -1
-                kept[room] = -np.sort(-b, axis=1)[:, :DEGREE]
+                full = np.full((len(b), max(DEGREE, b.shape[1])), -1, np.int64)
+                full[:, : b.shape[1]] = b
+                kept[room] = -np.sort(-full, axis=1)[:, :DEGREE]
             if (~room).any():
                 kept[~room] = self._prune(own[~room], both[~room], alpha)
             self.edges[own] = kept
 
 
+class Frame:
+    """Moves vectors to the mean of a shard's points and scales them to its spread."""
+
+    def __init__(self, points: np.ndarray):
+        self.size = np.abs(points).max(initial=0.0) or 1.0
+        self.mean = (points / self.size).mean(0)
+        self.spread = np.abs(points / self.size - self.mean).max(initial=0.0) or 1.0
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (vectors / self.size - self.mean) / self.spread
+
+
 def usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -164,7 +189,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     folder = shared.new_folder(spark, "queries")
     typed(queries).groupBy("id").agg(F.min(F.struct("d", "v")).alias("x")).select("id", "x.d", "x.v").write.parquet(folder)
     shards = max(1, -(-points.count() // shard))
-    dealt = points.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(shards, "d", "s").sortWithinPartitions("d", "s", "id")
+    dealt = points.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # a partition a shard: hashing the shard's number again would put several in one task
+    dealt = dealt.repartitionById(shards, F.col("s").cast("int")).sortWithinPartitions("d", "s", "id")
 
     def blocks(length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         files, path = shared.file_system(folder)
@@ -186,12 +213,15 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
         order = np.argsort(which, kind="stable")  # ids ascend already
         begin = np.searchsorted(which[order], np.arange(len(first) + 1))
         points = vectors[first]
-        graph = Graph(points)
+        frame = Frame(points)
+        graph = Graph(frame(points))
         for query, q in blocks(vectors.shape[1]):
-            near, _ = graph.search(q, max(beam, k + 1))
+            moved = frame(q)
+            far = ~(np.abs(moved).max(1) <= FAR)
+            near, _ = graph.search(np.where(far[:, None], 0.0, moved), max(beam, k + 1))
             out: list[list] = [[], [], []]
             for i in range(len(query)):
-                found = near[i][near[i] >= 0]
+                found = np.arange(len(points)) if far[i] else near[i][near[i] >= 0]
                 score = np.sqrt(((points[found] - q[i]) ** 2).sum(1))
                 # k + 1 ids of each point suffice: one may be the query's own
                 own = [order[begin[p] : min(begin[p + 1], begin[p] + k + 1)] for p in found]
