@@ -1,4 +1,4 @@
-"""Judged data in files: JSON lines, CSV and lists of ids, checked on reading; and an idempotent streaming sink."""
+"""Judged data in files: JSON lines, CSV and lists of ids, checked on reading."""
 
 from __future__ import annotations
 
@@ -39,9 +39,3 @@ def read_splits(spark: SparkSession, folder: str, scenarios: DataFrame) -> DataF
     known = scenarios.select(F.col("Scenario ID").alias("id"))
     _refuse(known.join(x, "id", "left_anti").unionByName(x.select("id").join(known, "id", "left_anti")), "splits and scenarios differ in")
     return x
-
-
-def append_impressions(stream: DataFrame, path: str, checkpoint: str, key: str = "idempotency_key", time: str = "ts", late: str = "1 day"):
-    """Starts a query that appends a stream's rows as Parquet, each key once within the allowed lateness; takes what is there, then ends."""
-    once = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -1,0 +1 @@
+"""Structured Streaming sinks."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import expansion, ranking
 from corvane.sources import judged
+from corvane.streaming import impressions
 
 
 def test_gate_and_suitability(spark):
@@ -47,5 +48,15 @@ def test_impressions_are_appended_once(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):
-        judged.append_impressions(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+        impressions.append_impressions(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(r.idempotency_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_impressions_of_a_late_batch_and_without_key(spark, tmp_path):
+    out, cp, src = (str(tmp_path / n) for n in ("out", "cp", "in"))
+    schema = "idempotency_key string, ts timestamp"
+    one = lambda key, day: spark.sql(f"select {key} as idempotency_key, timestamp'2026-01-{day:02d} 00:00:00' as ts").write.mode("append").parquet(src)
+    for key, day in (("'a'", 1), ("'b'", 2), ("'a'", 20), ("cast(null as string)", 21)):
+        one(key, day)
+        impressions.append_impressions(spark.readStream.schema(schema).parquet(src), out, cp).awaitTermination(60)
+    assert sorted((r.idempotency_key, r.ts.day) for r in spark.read.parquet(out).collect()) == [("a", 1), ("b", 2)]
