@@ -29,6 +29,8 @@ FEATURES = 384
 SAMPLE = 20_000
 FOLDS = 3
 LEAST_SEEN = 4
+#: Rows of which the driver holds a matrix at a time.
+HELD = 2048
 #: Used features are signs of the category: this far beyond chance, and this many times as common in it.
 LEAST_Z, LIFT = 4.5, 3
 #: Further columns of labels that categories may use.
@@ -81,6 +83,29 @@ class Chain:
         return out
 
 
+class _Presences:
+    """Which features each of many rows has, as lists of places; matrices are made for a few rows at a time."""
+
+    def __init__(self, lists: pa.ChunkedArray):
+        lists = [chunk.to_numpy(zero_copy_only=False) for chunk in lists.chunks]
+        values = [v for chunk in lists for v in chunk]
+        self.places = np.frombuffer(b"".join(values), "<u2")
+        self.ends = np.concatenate([[0], np.cumsum([len(v) // 2 for v in values], dtype=np.int64)])
+
+    def block(self, rows: np.ndarray, use: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Columns of the rows: presences at the places in use, those rows of more, and ones."""
+        column = np.full(1 << 16, -1, np.int32)
+        column[use] = np.arange(len(use))
+        start, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        to, row = column[self.places[at]], np.repeat(np.arange(len(rows)), size)
+        out = np.zeros((len(rows), len(use) + more.shape[1] + 1), np.float32)
+        out[row[to >= 0], to[to >= 0]] = 1
+        out[:, len(use) : -1] = more[rows]
+        out[:, -1] = 1
+        return out
+
+
 def _sample(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], key: str, text: str, sample: int) -> DataFrame:
     """(key, text, one 0/1 column per category) of labelled rows; of rows with one key the largest text and label count."""
     used = [c for c in labels.columns if c != key and c in ("quality", "toxic", *LABEL_COLUMNS)]
@@ -157,21 +182,25 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], ke
                     ["document_key", "p", *(f"y{c}" for c in range(k)), "fold"],
                 )
 
-    picked = rows.mapInArrow(pick, "document_key long, p binary, " + ", ".join(f"y{c} int" for c in range(k)) + ", fold int").orderBy("document_key").collect()
-    x = np.zeros((len(picked), size), np.float32)
-    for i, r in enumerate(picked):
-        x[i, np.frombuffer(r.p, "<u2")] = 1
-    y = np.array([[r[2 + c] for c in range(k)] for r in picked], np.float64).reshape(len(picked), k)
-    fold = np.array([r.fold for r in picked], np.int64)
+    picked = rows.mapInArrow(pick, "document_key long, p binary, " + ", ".join(f"y{c} int" for c in range(k)) + ", fold int").orderBy("document_key").toArrow()
+    x = _Presences(picked.column("p"))
+    y = np.array([picked.column(f"y{c}").to_numpy() for c in range(k)], np.float64).reshape(k, len(picked)).T
+    fold = picked.column("fold").to_numpy().astype(np.int64)
     held_out = np.zeros((len(picked), k))
     for c in range(k):
-        earlier = held_out[:, :c].astype(np.float32)
+        earlier = held_out[:, :c]
+
+        def model(use: np.ndarray, those: np.ndarray, truth: np.ndarray, earlier: np.ndarray = earlier) -> tuple[np.ndarray, float]:
+            return linear.fit_blocks(lambda a, b: x.block(those[a:b], place[use], earlier), len(use) + earlier.shape[1], truth[those], size=HELD)
+
         for f in range(FOLDS):
-            full = np.concatenate([x[:, place[numbers[f, c]]], earlier], 1)
-            w, b = linear.fit_logistic(full[fold != f], y[fold != f, c])
-            held_out[fold == f, c] = full[fold == f] @ w + b
+            w, b = model(numbers[f, c], np.flatnonzero(fold != f), y[:, c])
+            out = np.flatnonzero(fold == f)
+            for at in range(0, len(out), HELD):
+                some = out[at : at + HELD]
+                held_out[some, c] = x.block(some, place[numbers[f, c]], earlier)[:, :-1] @ w + b
         own = len(chain.numbers[c])
-        w, b = linear.fit_logistic(np.concatenate([x[:, place[chain.numbers[c]]], earlier], 1), y[:, c])
+        w, b = model(chain.numbers[c], np.arange(len(picked)), y[:, c])
         chain.weights.append((w[:own], w[own:], b))
     chain.held_out, chain.truth = held_out, y
     return chain
