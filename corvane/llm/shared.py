@@ -49,7 +49,11 @@ def mark(spark: SparkSession) -> int:
 
 
 def clear(spark: SparkSession, since: int, result: DataFrame) -> DataFrame:
-    """The result, after removing all tables settled since the mark that it doesn't read."""
+    """The result, after removing all tables settled since the mark that it doesn't read.
+
+    The driver collects its garbage then: what Spark holds of the finished plans (shuffles, broadcasts, generated
+    code) goes only with them, and would add up over the many plans of a loop.
+    """
     paths = _settled.get(spark.sparkContext.applicationId, [])
     read = {name.rsplit("/", 2)[-2] for name in result.inputFiles()}
     files = spark._jvm.org.apache.hadoop.fs
@@ -61,6 +65,7 @@ def clear(spark: SparkSession, since: int, result: DataFrame) -> DataFrame:
             place = files.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     paths[since:] = kept
+    spark._jvm.System.gc()
     return result
 
 
