@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing
+from corvane.llm import credentials, mixing
 from corvane.llm.hosts import RULES
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -119,5 +119,43 @@ FROM a
 """.replace("{time}", _time_sql("(CAST(ahead AS DOUBLE) / target)"))
 
 
+OP11 = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.l = b.l AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM r a JOIN r b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INT) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s QUALIFY rank <= 3
+"""
+
+
+def _either(pattern: str) -> str:
+    """The pattern of words without regard to the case of its ASCII letters."""
+    return "".join(f"[{c.upper()}{c}]" if c.islower() else c for c in pattern)
+
+
+def _found_sql(kind: str, pattern: str, sure: str = "true") -> str:
+    """Spans of a kind: matches stand between the pieces that the pattern splits a text into."""
+    return f"""SELECT r, {credentials.KINDS.index(kind)} AS k, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n, m[i] AS x, t
+  FROM (SELECT r, t, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, t, string_split_regex(t, $${pattern}$$) AS g, regexp_extract_all(t, $${pattern}$$) AS m, regexp_extract_all(t, $${pattern}$$, {2 if kind == "assign" else 0}) AS v FROM d)) WHERE {sure}"""
+
+
+_WORDY = {n: x.replace("password|passwd|secret|token|api_?key", _either("password|passwd|secret|token|api_?key")).replace("user|username|login|client_?id", _either("user|username|login|client_?id")) for n, x in (("assign", credentials.ASSIGN), ("login", credentials.LOGIN))}
+_AHEAD = "NOT regexp_matches(substr(t, a, least(a, 1)), '[{0}]')"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_found_sql("assign", _WORDY["assign"], "length(v[i]) >= 6")} UNION ALL {_found_sql("access", credentials.ACCESS, "length(m[i]) >= 20")} UNION ALL {_found_sql("hex", credentials.HEX, "length(m[i]) >= 24")}),
+keys AS ({_found_sql("key", credentials.KEY)}),
+weak AS (SELECT * FROM keys WHERE regexp_matches(x, '[a-z]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = keys.r AND b.a < keys.a + keys.n AND b.a + b.n > keys.a)
+  UNION ALL {_found_sql("login", _WORDY["login"])} UNION ALL SELECT * FROM ({_found_sql("address", credentials.ADDRESS)}) WHERE {_AHEAD.format("A-Za-z0-9._%+-")} UNION ALL SELECT * FROM ({_found_sql("endpoint", credentials.ENDPOINT)}) WHERE {_AHEAD.format("A-Za-z0-9+")}),
+spans AS (SELECT r, k, a, n, len(regexp_extract_all(left(t, a), $$\n[ \t\r]*\n$$)) AS scope FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+near AS (SELECT x.*, coalesce(bool_or(y.k IN (0, 2, 3)), false) AS secret, coalesce(bool_or(y.k IN (1, 4, 5)), false) AS identifier FROM (SELECT * FROM spans WHERE k >= 3) x LEFT JOIN spans y ON y.r = x.r AND y.scope = x.scope AND abs(y.a - x.a) <= {credentials.REACH} GROUP BY ALL),
+kept AS (SELECT r, k, a, n FROM spans WHERE k < 3 UNION ALL SELECT r, k, a, n FROM near WHERE CASE k WHEN 3 THEN identifier WHEN 6 THEN identifier AND secret ELSE secret END),
+named AS (SELECT *, ['assign', 'access', 'hex', 'key', 'login', 'address', 'endpoint'][k + 1] || ':' || a || ':' || (a + n) AS s FROM kept),
+o AS (SELECT r, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS b, string_agg(s, ',' ORDER BY a, k) AS e FROM named GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(e, '') AS spans FROM d LEFT JOIN o USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op2_decontamination": OP2, "op4_near_dedup": OP4, "op5_url_filter": OP5, "op7_mixing": OP7}
+    return {"op1_warc": OP1, "op2_decontamination": OP2, "op4_near_dedup": OP4, "op5_url_filter": OP5, "op7_mixing": OP7, "op11_hard_negatives": OP11, "op12_credentials": OP12}

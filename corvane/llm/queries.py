@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, forest, hosts, leaks, mixing, shared, tokens, toxicity, warc, weaklabels
+from corvane.llm import ann, credentials, forest, hardneg, hosts, leaks, mixing, repair, shared, tokens, toxicity, warc, weaklabels
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -81,5 +81,23 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each fiftieth vector; every seventh row's label is first moved on by one, as a known noise of labels."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each text and the weak parts that only together make one; a null text has none."""
+    found = credentials.find(table(spark, sf_dir, "documents"))
+    base = F.col("spans")
+    return found.select("doc_id", *[credentials.count(base, k).alias(f"n_{k}") for k in credentials.KINDS[: credentials.BASE]], F.sha2(credentials.listed(base), 256).alias("base_sha256"), credentials.listed(F.col("all_spans")).alias("spans"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of each conversation after known damage; one that lost all its rows has zeros and an empty audit."""
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")), F.col("lost"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_quality, op4_near_dedup, op5_url_filter, op6_token_counts, op7_mixing, op8_token_ids, op9_toxicity, op10_nearest)}
+    return {f.__name__: f for f in (op1_warc, op2_decontamination, op3_quality, op4_near_dedup, op5_url_filter, op6_token_counts, op7_mixing, op8_token_ids, op9_toxicity, op10_nearest, op11_hard_negatives, op12_credentials, op13_repair)}
