@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,9 +103,57 @@ def with_all_fields(requests: DataFrame, postings: DataFrame) -> DataFrame:
     return met.join(need, "request").where("met = need").select("request", "id")
 
 
+def tfidf_search(docs: DataFrame, key: str, grams: Column, queries: DataFrame, query: str, query_grams: Column, digits: int = 6) -> DataFrame:
+    """(query, key, score): cosines of tf-idf rows; a query's terms that no document has don't count. Only pairs with a common term appear."""
+    n = docs.count()
+    counts = lambda x, k, g: x.select(k, F.explode(g).alias("term")).groupBy(k, "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
+    asked = counts(queries, query, query_grams)
+    idf = counts(docs, key, grams).groupBy("term").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+
+    def unit(tf: DataFrame, k: str, name: str) -> DataFrame:
+        x = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        return x.join(x.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), k).select(k, "term", (F.col("w") / F.col("norm")).alias(name))
+
+    # only terms that some query has are weighted and met; norms need all of a document's
+    x = unit(counts(docs, key, grams), key, "weight").join(asked.select("term").distinct(), "term", "left_semi")
+    return x.join(unit(asked, query, "qw"), "term").groupBy(query, key).agg(F.round(F.sum(F.col("qw") * F.col("weight")), digits).alias("score"))
+
+
+BLOCK = 512  # vectors of queries that a task holds at a time
+
+
+def similar(vectors: DataFrame, key: str, queries: DataFrame, query: str, digits: int = 6) -> DataFrame:
+    """(query, key, score): cosines of all queries' vectors v with all vectors v of their length, block by block. Queries are a stated, bounded set.
+
+    Vectors are dealt by a hash into parts, queries into blocks of about BLOCK; a part meets each block once, so a task holds a part and a block.
+    """
+    asked, parts = -(-queries.count() // BLOCK) or 1, -(-vectors.count() // 16384) or 1
+    parts = max(parts, vectors.sparkSession.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(F.col(key).alias("k"), T.normalized(F.col("v").cast("array<double>")).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), every(asked).alias("block"))
+    right = queries.select(F.col(query).alias("q"), T.normalized(F.col("v").cast("array<double>")).alias("v"), every(parts).alias("part"), F.pmod(F.xxhash64(query), F.lit(asked)).cast("int").alias("block"))
+    types = [queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()]
+
+    def by_length(t: pa.Table) -> dict[int, tuple[pa.Table, np.ndarray]]:
+        t = t.combine_chunks()
+        sizes = np.array(pc.list_value_length(t.column("v")))
+        return {int(n): ((some := t.filter(pa.array(sizes == n))), some.column("v").combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1)) for n in np.unique(sizes) if n}
+
+    def meet(_, rows: pa.Table, asking: pa.Table) -> pa.Table:
+        out = [pa.table({"q": asking.column("q").slice(0, 0), "k": rows.column("k").slice(0, 0), "s": pa.array([], pa.float64())})]
+        theirs = by_length(rows)
+        for n, (q, m) in by_length(asking).items():
+            if n in theirs:
+                k, v = theirs[n]
+                ids = (np.repeat(np.arange(len(m)), len(v)), np.tile(np.arange(len(v)), len(m)))
+                out.append(pa.table({"q": q.column("q").take(ids[0]), "k": k.column("k").take(ids[1]), "s": (m @ v.T).ravel()}))
+        return pa.concat_tables(out)
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(meet, f"q {types[0]}, k {types[1]}, s double")
+    return found.select(F.col("q").alias(query), F.col("k").alias(key), F.round("s", digits).alias("score"))
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    """(query_id, key, score) of every pair of a stated, bounded query set and all vectors: exact by design."""
-    unit = lambda x: x.select(F.col(key), T.normalized(F.col(vector).cast("array<double>")).alias("u"))
-    q = unit(queries).select(F.col(key).alias("query_id"), F.col("u").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return unit(vectors).join(q, F.col(key) != F.col("query_id")).select("query_id", key, F.round(dot, 6).alias("score"))
+    """(query_id, key, score) of every pair of a stated, bounded query set and all other vectors: exact by design."""
+    v = vectors.select(key, F.col(vector).alias("v"))
+    return similar(v, key, queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v")), "query_id").where(F.col(key) != F.col("query_id")).select("query_id", key, "score")
