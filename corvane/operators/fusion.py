@@ -54,22 +54,22 @@ def quota_of(generators: Sequence[str], quotas: Sequence[tuple[str, int]] = QUOT
     return out
 
 
-def shortlist(records: DataFrame, generators: Sequence[str], high: bool = False, quotas: Sequence[tuple[str, int]] = QUOTAS) -> DataFrame:
+def shortlist(records: DataFrame, generators: Sequence[str], high: bool | Column = False, quotas: Sequence[tuple[str, int]] = QUOTAS) -> DataFrame:
     """(…, admitted_via, position): floors by quota first, the rest from the fused order, up to the depth.
 
-    High risk widens floors by one half, rounded half to even, and the depth.
+    High risk, of all requests or as a column of each record's, widens floors by one half, rounded half to even, and the depth.
     """
-    depth = HIGH_DEPTH if high else DEPTH
-    x = records.withColumn("quota", quota_of(generators, quotas))
+    wide = F.lit(high) if isinstance(high, bool) else F.coalesce(high, F.lit(False))
+    x = records.withColumn("quota", quota_of(generators, quotas)).withColumn("wide", wide)
     w = Window.partitionBy("query_id", "quota").orderBy("fused_rank")
     allowed = F.lit(0)
     for name, n in quotas:
-        allowed = F.when(F.col("quota") == name, round(n * 1.5) if high else n).otherwise(allowed)
+        allowed = F.when(F.col("quota") == name, F.when(F.col("wide"), round(n * 1.5)).otherwise(n)).otherwise(allowed)
     x = x.withColumn("floor", F.col("quota").isNotNull() & (F.row_number().over(w) <= allowed))
     order = Window.partitionBy("query_id").orderBy(F.col("floor").desc(), "fused_rank")
-    x = x.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= depth)
+    x = x.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= F.when(F.col("wide"), HIGH_DEPTH).otherwise(DEPTH))
     place = Window.partitionBy("query_id").orderBy("fused_rank")
-    return x.withColumn("admitted_via", F.when(F.col("floor"), F.col("quota")).otherwise("fused")).withColumn("position", F.row_number().over(place)).drop("turn", "floor", "quota")
+    return x.withColumn("admitted_via", F.when(F.col("floor"), F.col("quota")).otherwise("fused")).withColumn("position", F.row_number().over(place)).drop("turn", "floor", "quota", "wide")
 
 
 def families(scored: DataFrame, family_of: DataFrame) -> DataFrame:

@@ -106,9 +106,59 @@ def test_search_contains_failures_and_suppresses_weak_results(spark):
     hits = spark.createDataFrame([(1, "Q0", 7, 2.0), (1, "Q0", 8, 1.0), (1, "Q0", 99, 5.0), (2, "Q0", 8, 1.0)], "query_id long, variant string, instance_id long, score double")
     joint = lambda pairs: pairs.withColumn("ce_score", F.when(F.col("query_id") == 1, F.col("instance_id") / 10.0).otherwise(-20.0))
     found = search.search(requests, {"bm25f": lambda r: hits, "dense": lambda r: r.select(F.col("nothing")), "splade": None}, instances, joint)
-    assert {tuple(r) for r in found.status.collect()} == {("bm25f", "ok"), ("dense", "error"), ("splade", "not_run")}
+    status = {r.generator: r for r in found.status.collect()}
+    assert {(r.generator, r.state, r.hits) for r in status.values()} == {("bm25f", "ok", 3), ("dense", "error", 0), ("splade", "not_run", 0)} and "nothing" in status["dense"].message
     rows = {(r.query_id, r.decision, r.family_rank, r.family, r.instance_id) for r in found.results.collect()}
     assert rows == {(1, D.ASK, 1, "g", 8), (1, D.ASK, 2, "f", 7), (2, D.NONE, None, None, None), (3, D.NONE, None, None, None)}
-    found.release()
     with pytest.raises(ValueError, match="no generator"):
         search.search(requests, {"dense": None}, instances, joint)
+
+
+def _batch(spark, n=300):
+    """Request 1 is risky (five words, conflicting, many families), request 2 isn't: both have n hits of one generator and the same of another."""
+    requests = spark.createDataFrame([(1, 2, 0.0, True), (2, 9, 1.0, False)], "query_id long, n_words int, facet_coverage double, conflicting boolean")
+    instances = spark.range(n + 50).select(F.col("id").alias("instance_id"), F.concat(F.lit("f"), (F.col("id") % 10).cast("string")).alias("family"), F.lit("s").alias("data_source"), F.lit("c").alias("category"), F.lit("").alias("report_type"))
+    hits = spark.range(n).crossJoin(requests.select("query_id")).select("query_id", F.lit("Q0").alias("variant"), F.col("id").alias("instance_id"), (1000.0 - F.col("id") * F.col("id") / 400).alias("score"))
+    joint = lambda pairs: pairs.withColumn("ce_score", F.col("instance_id") / 10.0)
+    return requests, instances, hits, joint
+
+
+def test_each_request_has_its_own_depth(spark):
+    requests, instances, hits, joint = _batch(spark)
+    found = search.search(requests, {"bm25f": lambda r: hits, "dense": lambda r: hits}, instances, joint, search.Settings(depth=300))
+    bands = {r.query_id: r.band for r in found.risk.collect()}
+    taken = {r.query_id: r["count"] for r in found.shortlist.groupBy("query_id").count().collect()}
+    assert bands[1] == "HIGH" and bands[2] != "HIGH" and taken == {1: 200, 2: 120}
+
+
+def test_siblings_may_be_selected_but_move_no_family(spark):
+    requests, instances, hits, joint = _batch(spark)
+    found = search.search(requests, {"bm25f": lambda r: hits, "dense": lambda r: hits}, instances, joint, search.Settings(depth=300, most_expanded=7))
+    new = [r.instance_id for r in found.members.where("expanded and query_id = 2").collect()]
+    assert len(new) == 7 and min(new) >= 120
+    first = [r.family for r in found.families.where("query_id = 2").orderBy("family_rank").collect()]
+    # the best scored instance of the shortlist leads, whatever its siblings score
+    assert first == [f"f{k}" for k in (9, 8, 7, 6, 5, 4, 3, 2, 1, 0)]
+    by = {r.family: r for r in found.families.where("query_id = 2").collect()}
+    assert by["f9"].by_expansion and by["f9"].ce_score > 11.9 and not by["f0"].by_expansion
+
+
+def test_gates_close_requests_for_what_is_not_there(spark):
+    requests, instances, hits, joint = _batch(spark)
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (2, "zz")], "query_id long, field string")
+    postings = spark.createDataFrame([("a", 1), ("b", 2), ("b", 10_000), ("a", 10_000), ("zz", 20_000)], "field string, instance_id long")
+    found = search.search(requests, {"bm25f": lambda r: hits}, instances, joint, wanted=wanted, postings=postings)
+    # what only forbidden instances have isn't there
+    assert {r.query_id: r.reason for r in found.gates.collect()} == {1: D.GATES[2], 2: D.GATES[1] + ": zz"}
+    assert {(r.decision, r.family) for r in found.results.collect()} == {(D.NONE, None)}
+
+
+def test_faults_in_rows_are_contained_and_the_wider_generator_asks_only_the_risky(spark):
+    requests, instances, hits, joint = _batch(spark, 40)
+    broken = lambda r: hits.withColumn("score", F.when(F.col("instance_id") == 7, F.raise_error(F.lit("no such index"))).otherwise(1.0))
+    late = lambda r: r.select("query_id", F.lit("Q0").alias("variant"), F.lit(45).cast("long").alias("instance_id"), F.lit(9.0).alias("score"))
+    found = search.search(requests, {"bm25f": lambda r: hits, "dense": broken}, instances, joint, late=("late_interaction", late))
+    status = {r.generator: (r.state, r.message) for r in found.status.collect()}
+    assert status["dense"][0] == "error" and "no such index" in status["dense"][1] and status["late_interaction"] == ("ok", "")
+    assert [r.query_id for r in found.union.where("late_interaction_rank is not null").collect()] == [1]
+    assert found.union.where("query_id = 1 and instance_id = 45 and bm25f_rank is null").count() == 1
