@@ -157,8 +157,10 @@ def test_faults_in_rows_are_contained_and_the_wider_generator_asks_only_the_risk
     requests, instances, hits, joint = _batch(spark, 40)
     broken = lambda r: hits.withColumn("score", F.when(F.col("instance_id") == 7, F.raise_error(F.lit("no such index"))).otherwise(1.0))
     late = lambda r: r.select("query_id", F.lit("Q0").alias("variant"), F.lit(45).cast("long").alias("instance_id"), F.lit(9.0).alias("score"))
-    found = search.search(requests, {"bm25f": lambda r: hits, "dense": broken}, instances, joint, late=("late_interaction", late))
+    found = search.search(requests, {"bm25f": lambda r: hits, "dense": broken}, instances, joint)
     status = {r.generator: (r.state, r.message) for r in found.status.collect()}
-    assert status["dense"][0] == "error" and "no such index" in status["dense"][1] and status["late_interaction"] == ("ok", "")
+    assert status["bm25f"] == ("ok", "") and status["dense"][0] == "error" and "no such index" in status["dense"][1]
+    found = search.search(requests, {"bm25f": lambda r: hits, "dense": lambda r: hits}, instances, joint, late=("late_interaction", late))
+    assert {r.query_id: r.band for r in found.risk.collect()}[2] != "HIGH" and {r.generator: r.hits for r in found.status.collect()} == {"bm25f": 80, "dense": 80, "late_interaction": 1}
     assert [r.query_id for r in found.union.where("late_interaction_rank is not null").collect()] == [1]
     assert found.union.where("query_id = 1 and instance_id = 45 and bm25f_rank is null").count() == 1
