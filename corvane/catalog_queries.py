@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import evaluation, expansion, fusion, ranking, retrieval
+from corvane.operators import evaluation, expansion, fusion, prefix, ranking, retrieval
 from corvane.sources.catalog import GENERATORS, instances, raw_hits, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,9 +421,11 @@ def w5_percentile(spark, d):
 
 @query("WITH r AS (SELECT event_type, event_id, value, value < 20 AS ok FROM events) SELECT event_type, event_id, round(row_number() OVER w / count(*) OVER (PARTITION BY event_type), 6) AS coverage, round(1 - avg(ok::INT) OVER (PARTITION BY event_type ORDER BY value DESC, event_id ROWS UNBOUNDED PRECEDING), 6) AS risk FROM r WINDOW w AS (PARTITION BY event_type ORDER BY value DESC, event_id)")
 def w6_risk_coverage(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
-    x = table(spark, d, "events").withColumn("ok", (F.col("value") < 20).cast("int"))
-    return x.select("event_type", "event_id", F.round(F.row_number().over(w) / F.count(F.lit(1)).over(Window.partitionBy("event_type")), 6).alias("coverage"), F.round(1 - F.avg("ok").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("risk"))
+    """Coverage and risk of answering from the surest on, at every row, by running sums over ranges of rows."""
+    x = table(spark, d, "events").select("event_type", "event_id", "value", (F.col("value") < 20).cast("int").alias("ok"))
+    n = x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    y = prefix.running(x, ["event_type"], [F.col("value").desc(), F.col("event_id")], {"k": F.lit(1), "good": F.col("ok")})
+    return prefix.join_on(y, n, ["event_type"]).select("event_type", "event_id", F.round(F.col("k") / F.col("n"), 6).alias("coverage"), F.round(1 - F.col("good") / F.col("k"), 6).alias("risk"))
 
 
 @query(f"WITH {UNION}, h AS (SELECT query_id, fused / sum(fused) OVER (PARTITION BY query_id) AS p, count(*) OVER (PARTITION BY query_id) AS n FROM unioned WHERE fused_rank <= 10 AND fused > 0) SELECT query_id, round(CASE WHEN max(n) > 1 THEN -sum(p * ln(p)) / ln(max(n)) ELSE 0 END, 6) AS entropy FROM h GROUP BY query_id")
@@ -632,12 +634,19 @@ def e2_calibration(spark, d):
 @query("WITH p AS (SELECT s_nationkey AS g, s_suppkey AS id, s_acctbal AS a, s_suppkey % 17 AS b FROM supplier) SELECT CAST(x.g AS BIGINT) AS g, count(*) FILTER ((x.a - y.a) * (x.b - y.b) < 0) AS discordant, count(*) AS pairs FROM p x JOIN p y ON x.g = y.g AND x.id < y.id GROUP BY 1")
 def e3_discordant_pairs(spark, d):
     p = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("a"), (F.col("s_suppkey") % 17).alias("b"))
-    return p.join(p.toDF("g", "id2", "a2", "b2"), "g").where("id < id2").groupBy("g").agg(F.count_if((F.col("a") - F.col("a2")) * (F.col("b") - F.col("b2")) < 0).alias("discordant"), F.count(F.lit(1)).alias("pairs"))
+    x = prefix.inversions(p, ["g"], "a", "b", "id").where("n > 1")
+    return x.select("g", F.col("inversions").alias("discordant"), F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def e4_latency_summary(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+    """Quantiles between neighbours in order, and means; no group is sorted or held by one task."""
+    x = table(spark, d, "events").select("event_type", "value")
+    at = {p: (F.col("n") - 1) * p for p in (0.5, 0.95)}
+    q = prefix.quantiles(x, ["event_type"], "value", {f"{side}{p}": f(c) for p, c in at.items() for side, f in (("low", F.floor), ("high", F.ceil))})
+    between = lambda p: F.round(F.col(f"`low{p}`") + (F.col(f"`high{p}`") - F.col(f"`low{p}`")) * (at[p] - F.floor(at[p])), 6)
+    mean = x.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return prefix.join_on(q, mean, ["event_type"]).select("event_type", between(0.5).alias("p50"), between(0.95).alias("p95"), "mean")
 
 
 @query("WITH m AS (SELECT l_linestatus AS v, l_returnflag AS metric, round(avg(l_discount), 6) AS x FROM lineitem GROUP BY 1, 2) SELECT a.metric AS metric, round(b.x - a.x, 6) AS delta, round(a.x - b.x, 6) > 0.02 AS failed FROM m a JOIN m b ON a.metric = b.metric WHERE a.v = 'F' AND b.v = 'O'")
