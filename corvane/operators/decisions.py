@@ -113,3 +113,38 @@ def sources_of(merged: DataFrame) -> DataFrame:
 def hit_listing(merged: DataFrame) -> DataFrame:
     """(query_id, generator, ids): a generator's hits, in order of rank, as many as its depth."""
     return merged.groupBy("query_id", "generator").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "instance_id"))), lambda s: s["instance_id"]).alias("ids"))
+
+
+#: Names of the features of a decision, in order.
+FEATURES = (
+    "top_family_score", "score_margin_top_two", "cross_encoder_top", "cross_encoder_margin", "cross_encoder_mean_top5", "score_entropy_top10", "family_count", "candidate_count", "authorized_candidate_count_log", "generator_agreement_top",
+    "source_exclusive_ratio_top", "risk_low", "risk_medium", "risk_high", "risk_reason_count", "query_token_count", "stated_facet_count", "query_variant_count", "distinguishing_facet_present", "top_family_instance_count",
+)
+
+
+def features(requests: DataFrame, families: DataFrame, members: DataFrame, union: DataFrame, risk: DataFrame, facets: DataFrame, authorized: int, generators_run: int) -> DataFrame:
+    """(query_id, all of FEATURES) of each request from what a search has in hand; a request without families has zeros.
+
+    requests: (query_id, tokens, stated_facets, variants); families: (query_id, family, family_rank, score, ce_score of the selected); members: (query_id, family, instance_id); facets: (query_id) where leading families differ.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct("family_rank", F.col("score").cast("double").alias("score"), F.col("ce_score").cast("double").alias("ce"))))
+    f = families.groupBy("query_id").agg(ordered.alias("f"), F.max(F.when(F.col("family_rank") == 1, F.col("family"))).alias("family"))
+    scores = F.transform("f", lambda x: x["score"])
+    joint = F.filter(F.transform("f", lambda x: x["ce"]), lambda c: c.isNotNull())
+    head = F.slice(F.filter(scores, lambda s: s > 0), 1, 10)
+    total = F.aggregate(head, F.lit(0.0), lambda a, s: a + s)
+    spread = -F.aggregate(head, F.lit(0.0), lambda a, s: a + s / total * F.log(s / total)) / F.log(F.size(head))
+    five = F.slice(joint, 1, 5)
+    size = members.groupBy("query_id", "family").agg(F.count(F.lit(1)).alias("instances"))
+    top = F.col("fused_rank") <= 20
+    u = union.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), (F.sum(F.when(top, F.col("n_sources"))) / (F.count_if(top) * generators_run)).alias("agreement"), (F.count_if(top & (F.col("n_sources") == 1)) / F.count_if(top)).alias("alone"))
+    x = requests.join(f, "query_id").join(size, ["query_id", "family"], "left").join(u, "query_id", "left").join(risk, "query_id", "left").join(facets.select("query_id", F.lit(1.0).alias("differ")).distinct(), "query_id", "left")
+    values = {
+        "top_family_score": F.get(scores, F.lit(0)), "score_margin_top_two": F.coalesce(F.get(scores, F.lit(0)) - F.get(scores, F.lit(1)), F.lit(1.0)), "cross_encoder_top": F.get(joint, F.lit(0)), "cross_encoder_margin": F.get(joint, F.lit(0)) - F.get(joint, F.lit(1)),
+        "cross_encoder_mean_top5": F.when(F.size(five) > 0, F.aggregate(five, F.lit(0.0), lambda a, s: a + s) / F.size(five)), "score_entropy_top10": F.when(F.size(head) > 1, spread), "family_count": F.size("f"), "candidate_count": F.col("candidates"),
+        "authorized_candidate_count_log": F.log1p(F.lit(float(authorized))), "generator_agreement_top": F.col("agreement"), "source_exclusive_ratio_top": F.col("alone"), **{f"risk_{b.lower()}": F.col("band") == b for b in ("LOW", "MEDIUM", "HIGH")},
+        "risk_reason_count": F.size("reasons"), "query_token_count": F.col("tokens"), "stated_facet_count": F.col("stated_facets"), "query_variant_count": F.col("variants"), "distinguishing_facet_present": F.col("differ"), "top_family_instance_count": F.col("instances"),
+    }
+    x = x.select("query_id", *[F.round(F.coalesce(values[n].cast("double"), F.lit(0.0)), 6).alias(n) for n in FEATURES])
+    none = requests.select("query_id").join(families.select("query_id").distinct(), "query_id", "left_anti")
+    return x.unionByName(none.select("query_id", *[F.lit(0.0).alias(n) for n in FEATURES]))

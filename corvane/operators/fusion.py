@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
+
 RRF_K = 60
 #: Floors of the shortlist by exclusive source, in order of precedence.
 QUOTAS = (("bm25f", 15), ("splade", 15), ("dense", 10), ("Q5", 10))
@@ -82,3 +84,35 @@ def families(scored: DataFrame, family_of: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("s"))
     return x.select("query_id", "family", "score", "members", F.col("s.instance_id").alias("selected"), F.row_number().over(w).alias("family_rank"))
+
+
+#: Generators in order, and the names of the features of a candidate.
+GENERATOR_ORDER = ("bm25f", "splade", "dense_identity", "dense_purpose", "dense_schema", "dense_interface", "prototype", "late_interaction")
+FEATURES = (
+    *(f"{g}_{x}" for g in GENERATOR_ORDER for x in ("reciprocal_rank", "score", "present")), "cross_encoder_score", "cross_encoder_reciprocal_rank", "cross_encoder_present", "fused_reciprocal_rank", "generator_count", "query_variant_count",
+    "source_exclusive", "exact_title_overlap", "alias_overlap", "field_overlap", "prompt_overlap", "query_length", "query_specificity", "metadata_completeness", "lifecycle_unknown", "family_instance_count",
+)
+
+
+def features(candidates: DataFrame, requests: DataFrame, instances: DataFrame, generators: dict[str, str]) -> DataFrame:
+    """(query_id, instance_id, all of FEATURES) of each candidate.
+
+    candidates: a shortlist of a union with ce_score and ce_rank; generators maps names of its columns to those of GENERATOR_ORDER, all others are absent.
+    requests: (query_id, text, stated_facets); instances: (instance_id, title, aliases, fields, prompts as texts, filled out of six descriptive values, unknown lifecycle, family_size).
+    """
+    x = candidates.join(requests.select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("_q"), "stated_facets"), "query_id").join(instances, "instance_id")
+    by = {name: column for column, name in generators.items()}
+    values: dict[str, Column] = {}
+    variants = []
+    for g in GENERATOR_ORDER:
+        c = by.get(g)
+        rank = F.col(f"{c}_rank") if c else F.lit(None).cast("int")
+        values |= {f"{g}_reciprocal_rank": 1.0 / rank, f"{g}_score": F.col(f"{c}_score") if c else F.lit(0.0), f"{g}_present": rank.isNotNull()}
+        variants += [F.col(f"{c}_variant")] if c else []
+    overlap = lambda c: T.overlap(F.col("_q"), T.tokens(F.col(c)))
+    values |= {
+        "cross_encoder_score": F.col("ce_score"), "cross_encoder_reciprocal_rank": F.when(F.col("ce_score").isNotNull(), 1.0 / F.col("ce_rank")), "cross_encoder_present": F.col("ce_score").isNotNull(), "fused_reciprocal_rank": 1.0 / F.col("fused_rank"),
+        "generator_count": F.col("n_sources"), "query_variant_count": F.size(F.array_distinct(F.array_compact(F.array(*variants)))), "source_exclusive": F.col("n_sources") == 1, "exact_title_overlap": overlap("title"), "alias_overlap": overlap("aliases"),
+        "field_overlap": overlap("fields"), "prompt_overlap": overlap("prompts"), "query_length": F.size("_q"), "query_specificity": F.col("stated_facets"), "metadata_completeness": F.col("filled") / 6, "lifecycle_unknown": F.col("unknown"), "family_instance_count": F.col("family_size"),
+    }
+    return x.select("query_id", "instance_id", *[F.round(F.coalesce(values[n].cast("double"), F.lit(0.0)), 6).alias(n) for n in FEATURES])
