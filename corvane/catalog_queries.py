@@ -480,9 +480,8 @@ sc AS (SELECT item_id AS query_id, doc_id, round(sum(idf * 2.2 * w / (1.2 + w)),
 
 def _bm25f(spark, d):
     zones = {"title": F.substring_index(F.col("text"), "\n", 1), "body": F.col("text"), "source": F.col("source")}
-    postings = retrieval.bm25f_postings(table(spark, d, "documents"), "doc_id", zones, WEIGHTS)
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.score_terms(postings, q, "doc_id", "query_id", "text")
+    return retrieval.bm25f_search(table(spark, d, "documents"), "doc_id", zones, WEIGHTS, q, "query_id", "text")
 
 
 @query(f"WITH {BM25F_SQL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 100")

@@ -45,6 +45,30 @@ def bm25f_postings(docs: DataFrame, key: str, zones: dict[str, Column], weights:
     return x.join(df, "term").select("term", key, (idf * (k1 + 1) * F.col("wtf") / (k1 + F.col("wtf"))).alias("part"))
 
 
+MOST_BROADCAST = 200_000  # words of requests, beyond which their table is not sent to every task
+
+
+def bm25f_search(docs: DataFrame, key: str, zones: dict[str, Column], weights: dict[str, float], queries: DataFrame, query: str, text: str, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """(query, key, score), as scores over all postings are, of documents with a word of a query; only words that some query has are counted.
+
+    A word's occurrence adds its zone's weight over the zone's relative length, so one sum by (document, word) has all zones; it is combined
+    before the exchange. Lengths are sizes, in a scan of their own.
+    """
+    words = {z: T.tokens(c) for z, c in zones.items()}
+    facts = docs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.size(w)).alias(z) for z, w in words.items()]).first()
+    n = facts.n
+    average = {z: max((facts[z] or 0) / n, 1.0) if n else 1.0 for z in zones}
+    asked = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
+    known = asked.select("term").distinct()
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
+    part = lambda z, w: F.struct((F.lit(float(weights[z])) / (1 - b + b * F.size(w) / average[z])).alias("w"), w.alias("terms"))
+    said = docs.select(key, F.explode(F.array(*[part(z, w) for z, w in words.items()])).alias("z")).select(key, "z.w", F.explode("z.terms").alias("term"))
+    wtf = said.join(known, "term", "left_semi").groupBy(key, "term").agg(F.sum("w").alias("wtf"))
+    df = wtf.groupBy("term").agg(F.log(1 + (n - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
+    x = wtf.join(df, "term").select(key, "term", (F.col("idf") * (k1 + 1) * F.col("wtf") / (k1 + F.col("wtf"))).alias("part"))
+    return x.join(asked, "term").groupBy(query, key).agg(F.round(F.sum("part"), digits).alias("score"))
+
+
 def score_terms(postings: DataFrame, queries: DataFrame, key: str, query: str, text: str, digits: int = 6) -> DataFrame:
     """(query, key, score): sums over the query's distinct terms; only documents with a term appear."""
     terms = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
