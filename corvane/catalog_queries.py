@@ -281,8 +281,8 @@ def j8_required_fields(spark, d):
 def j13_co_absent(spark, d):
     c = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     co = c.join(c.select("p", F.col("s").alias("b")), "p").where("s < b").select("s", "b").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    # how many larger values there are, from their rank: absent pairs are counted without making them
-    v = c.select("s").distinct().withColumn("larger", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("s")))
+    # how many larger values there are, from their place: absent pairs are counted without making them
+    v = prefix.numbered(c.select("s").distinct(), [], [F.col("s").desc()], "larger")
     return v.join(co, "s", "left").select(F.col("s").alias("supplier"), (F.col("larger") - F.coalesce("n", F.lit(0))).alias("co_absent"))
 
 

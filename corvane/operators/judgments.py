@@ -130,29 +130,3 @@ def threshold_sweep(probes: DataFrame, thresholds: list[float]) -> DataFrame:
     )
     rows = F.array(*[F.struct(F.lit(t).alias("tau"), F.round(F.col(f"f{i}") / F.col("n"), 6).alias("coverage"), F.when(F.col(f"f{i}") > 0, F.round(F.col(f"h{i}") / F.col(f"f{i}"), 6)).alias("precision")) for i, t in enumerate(thresholds)])
     return x.select(F.inline(rows))
-
-
-def _following(x: DataFrame, by: list[str], key: str, columns: list[str], k: int) -> DataFrame:
-    """Each row with the k next of its group in order of its key's hash, as struct column `next`; buckets of a hash digit keep a group's order from being one task's."""
-    h = F.sha2(F.col(key).cast("string"), 256)
-    w = Window.partitionBy(*by, "_b").orderBy("_h")
-    y = x.withColumn("_h", h).withColumn("_b", F.left("_h", F.lit(1)))
-    ahead = [F.lead(F.struct(*columns), i).over(w) for i in range(1, k + 1)]
-    return y.select(*x.columns, F.array_compact(F.array(*ahead)).alias("_n")).withColumn("next", F.explode("_n")).drop("_n")
-
-
-def co_absent(holdings: DataFrame, least: int, k: int) -> DataFrame:
-    """(a, b) of fields of at least so many instances that no instance has together, among each field and the k next in hash order. holdings: (field, id)."""
-    held = holdings.select("field", "id").distinct()
-    common = held.groupBy("field").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least).select("field")
-    near = _following(common, [], "field", ["field"], k)
-    pairs = near.select(F.least("field", "next.field").alias("a"), F.greatest("field", "next.field").alias("b"))
-    # only candidate pairs meet on an instance, so the join makes no more rows than fields' holdings times k
-    together = pairs.join(held.select(F.col("field").alias("a"), "id"), "a").join(held.select(F.col("field").alias("b"), "id"), ["b", "id"], "left_semi").select("a", "b").distinct()
-    return pairs.join(together, ["a", "b"], "left_anti")
-
-
-def negatives(x: DataFrame, k: int) -> DataFrame:
-    """(id, negative): of the k next rows of the same category in hash order, those of another family that aren't excluded. x: (id, category, family, excluded)."""
-    y = _following(x, ["category"], "id", ["id", "family", "excluded"], k)
-    return y.where((F.col("family") != F.col("next.family")) & ~F.col("next.excluded")).select("id", F.col("next.id").alias("negative"))

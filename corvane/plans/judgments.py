@@ -104,21 +104,3 @@ _TAUS = [0.0, 0.02, 0.04, 0.05, 0.06, 0.08, 0.2]
 @query("WITH t AS (SELECT unnest([0.0, 0.02, 0.04, 0.05, 0.06, 0.08, 0.2])::DOUBLE AS tau) SELECT tau, round(avg((l_discount >= tau)::INT), 6) AS coverage, round(avg((l_returnflag = 'R')::INT) FILTER (l_discount >= tau), 6) AS precision FROM lineitem, t GROUP BY 1")
 def e15_threshold_sweep(spark, d):
     return J.threshold_sweep(table(spark, d, "lineitem").select(F.col("l_discount").alias("score"), (F.col("l_returnflag") == "R").alias("hit")), _TAUS)
-
-
-_NEAR = 4
-
-
-@query(f"""WITH v AS (SELECT l_partkey AS f, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1 HAVING df >= 20), h AS (SELECT f, left(sha256(CAST(f AS VARCHAR)), 1) AS b, row_number() OVER (PARTITION BY left(sha256(CAST(f AS VARCHAR)), 1) ORDER BY sha256(CAST(f AS VARCHAR))) AS r FROM v),
-c AS (SELECT least(x.f, y.f) AS a, greatest(x.f, y.f) AS b FROM h x JOIN h y ON x.b = y.b AND y.r - x.r BETWEEN 1 AND {_NEAR}) SELECT a, b FROM c WHERE NOT EXISTS (SELECT 1 FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey WHERE l.l_partkey = c.a AND m.l_partkey = c.b)""")
-def y5_co_absent_pairs(spark, d):
-    """Common fields (parts) that no instance (order) has together. Each is paired with the next few in hash order, so pairs grow with fields, not with their square."""
-    return J.co_absent(table(spark, d, "lineitem").select(F.col("l_partkey").alias("field"), F.col("l_orderkey").alias("id")), 20, _NEAR)
-
-
-@query("""WITH h AS (SELECT p_partkey AS id, p_brand AS category, lower(p_name) AS family, p_size % 5 = 0 AS out, left(sha256(CAST(p_partkey AS VARCHAR)), 1) AS b, row_number() OVER (PARTITION BY p_brand, left(sha256(CAST(p_partkey AS VARCHAR)), 1) ORDER BY sha256(CAST(p_partkey AS VARCHAR))) AS r FROM part)
-SELECT x.id, y.id AS negative FROM h x JOIN h y ON x.category = y.category AND x.b = y.b AND y.r - x.r BETWEEN 1 AND 4 WHERE x.family <> y.family AND NOT y.out""")
-def j15_negatives(spark, d):
-    """Negatives of the same brand and another family; parts of a size divisible by 5 are excluded."""
-    x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.lower("p_name").alias("family"), (F.col("p_size") % 5 == 0).alias("excluded"))
-    return J.negatives(x, 4)
