@@ -712,14 +712,6 @@ def s15_idempotent_impressions(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("kept"))
 
 
-@query("WITH new AS (SELECT doc_id, left(sha256(text || chr(31)), 16) AS h FROM documents), old AS (SELECT doc_id, h FROM new WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'stale' FROM new WHERE doc_id % 3 = 0) SELECT new.doc_id, old.h IS NOT NULL AS reused FROM new LEFT JOIN old ON old.doc_id = new.doc_id AND old.h = new.h")
-def i1_incremental_refresh(spark, d):
-    new = table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
-    old = new.select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("h")).otherwise("stale").alias("h"))
-    reused = new.join(old, ["doc_id", "h"], "left_semi").select("doc_id", F.lit(True).alias("reused"))
-    return reused.unionByName(new.join(old, ["doc_id", "h"], "left_anti").select("doc_id", F.lit(False).alias("reused")))
-
-
 @query("""WITH said AS (SELECT conv_id, count(*) AS turns, string_agg(text, ' / ' ORDER BY turn) FILTER (role = 'user') AS said, arg_min(text, turn) FILTER (role = 'user') AS first_said FROM conversations GROUP BY conv_id)
 SELECT conv_id, turns, left(sha256(coalesce(said, '')), 16) AS context_hash, length(coalesce(said, '')) AS context_length, CASE WHEN said IS NOT NULL AND said <> first_said THEN 'QC' END AS variant FROM said""")
 def g34_clarified_rerun(spark, d):

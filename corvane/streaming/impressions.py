@@ -12,7 +12,7 @@ def append_impressions(stream: DataFrame, path: str, checkpoint: str, key: str =
     """Starts a query that appends a stream's new keys as Parquet and ends when it has taken what is there.
 
     A batch keeps each key's earliest row and leaves out keys that are stored; rows without a key are left out. The store is
-    partitioned by a hash of the key, and a batch's join reads only the key column. A batch that runs again after a failure
+    partitioned by a hash of the key, and a batch's join reads the key column of its own keys' buckets only. A batch that runs again after a failure
     finds its own rows stored, so it appends only what was missing. One query at a time may append to a path.
     """
 
@@ -22,7 +22,13 @@ def append_impressions(stream: DataFrame, path: str, checkpoint: str, key: str =
         first = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(F.col(time), F.xxhash64(rest))).alias("r")).select("r.*")
         new = first.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         if _stored(spark, path):
-            new = new.join(spark.read.parquet(path).select("bucket", key), ["bucket", key], "left_anti")
+            new = new.persist()
+            # only folders of the batch's buckets are read
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+            held = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select("bucket", key)
+            new.join(held, ["bucket", key], "left_anti").write.mode("append").partitionBy("bucket").parquet(path)
+            new.unpersist()
+            return
         new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
