@@ -37,9 +37,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else null. Lists over MOST_RULES are refused: they belong in a table."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """(rule, verdict) of the longest rule that fits, else null."""
     rule = verdict = None
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         name, slash, start = text.partition("/")
@@ -50,6 +48,23 @@ def first_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RU
     return (none, none) if rule is None else (rule, verdict)
 
 
+def first_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, verdict) of the distinct (host, path) of urls that a rule of the table (rule, verdict) fits, the longest each.
+
+    A url meets a rule by equal keys only: each ending of its host at a dot, and of its path as many characters as rules of that host have.
+    """
+    slash = F.instr("rule", "/")
+    name, start = F.when(slash > 0, F.substring("rule", F.lit(1), slash - 1)).otherwise(F.col("rule")), F.when(slash > 0, F.substring("rule", slash, F.length("rule"))).otherwise("")
+    table = settle(rules.where("rule is not null").groupBy("rule").agg(F.min("verdict").alias("verdict")).select("rule", "verdict", name.alias("name"), start.alias("start")), "rules")
+    lengths = table.groupBy("name").agg(F.collect_set(F.length("start")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    x = urls.select("host", "path").distinct().select("host", "path", F.explode(endings).alias("name")).join(lengths, "name")
+    x = x.select("host", "path", "name", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")).withColumn("start", F.left("path", F.col("n")))
+    best = F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule")))
+    return x.join(table, ["name", "start"]).groupBy("host", "path").agg(best.alias("r")).select("host", "path", "r.rule", "r.verdict")
+
+
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix of a host without port; short hosts and addresses of numbers are their own."""
     name = F.regexp_replace(host, r":[0-9]*\z", "")
@@ -101,14 +116,24 @@ def reputation(outcomes: DataFrame, urls: DataFrame, z: float = 1.645, least: fl
     return h.select("host", "n", "good", mean.alias("mean"), F.greatest(mean - z * sd, F.lit(0.0)).alias("lower"), F.least(mean + z * sd, F.lit(1.0)).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, key: str = "page_id", url: str = "url", z: float = 1.645) -> DataFrame:
-    """(page_id, host, path, rule, verdict, mean, upper) for each page; outcomes: (page_id, good), good 0 or 1."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES, threshold: float = 0.5, key: str = "page_id", url: str = "url", z: float = 1.645) -> DataFrame:
+    """(page_id, host, path, rule, verdict, mean, upper) for each page; outcomes: (page_id, good), good 0 or 1.
+
+    Rules are a list, or a table (rule, verdict) of any size; a list of more than MOST_RULES becomes one.
+    """
     host, path = host_and_path(F.col(url).cast("string"))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"))
     given = outcomes.select(F.col(key).alias("labelled"), F.col("good").cast("int").alias("good")).groupBy("labelled").agg(F.min("good").alias("good"))
     found = rows.select("k", "host").join(given, F.col("k") == F.col("labelled")).select("host", "good")
     known = reputation(found, rows.select("host"), z).select(F.col("host").alias("known"), "mean", "upper")
-    rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+    if isinstance(rules, DataFrame):
+        fitting = first_rules(rows, rules).withColumnRenamed("verdict", "says")
+        rows = rows.join(fitting, ["host", "path"], "left")
+        rule, verdict = F.col("rule"), F.col("says")
+    else:
+        rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
     x = rows.join(known, F.col("host") == F.col("known"), "left")
     own = F.when(F.round("upper", 9) < threshold, "block").otherwise("allow")
     return x.select(F.col("k").alias(key), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("mean", 9).alias("mean"), F.round("upper", 9).alias("upper"))
