@@ -488,17 +488,33 @@ def _classes(full: DataFrame, n_rows: int) -> DataFrame:
     return rows.where("hot is not null").select("id", F.col("hot").alias("class")).unionByName(rest.select("id", F.coalesce("class", "id").alias("class"))).distinct()
 
 
+def _of_rows(docs: DataFrame, key: str, text: str, width: int, percent: int, cap: int) -> DataFrame:
+    """The result where ids have several texts: components of rows, which have ids of their own, joined where they hold rows of one id."""
+    rows = docs.select(F.col(key).cast("long").alias("own"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = settle(rows, "rows")
+    found = settle(near_duplicates(rows, "row", "text", width, percent, cap).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of_row")).join(rows.select("row", "own"), "row"), "of-rows")
+    # an id is linked to the smallest id of each component that one of its rows is in
+    known = found.where("own is not null")
+    least = known.groupBy("of_row").agg(F.min("own").alias("b"))
+    linked = components(settle(known.select("own", "of_row").distinct().join(least, "of_row").select(F.col("own").alias("a"), "b").where("a <> b").distinct(), "links"))
+    x = found.join(linked, F.col("own") == F.col("node"), "left").withColumn("c", F.coalesce("component", "own"))
+    return x.select(F.col("own").alias("doc_id"), "n_shingles", F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("own"), F.lit(True)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, cap: int = CAP) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A null, empty or blank
     text has no shingles and is its own component. Rows that repeat an id with the same text
-    are one class; rows that repeat an id with other texts all get the smallest of its components, and one
-    of the texts counts for its links. A null id is its own component, null, and kept.
+    are one class; rows that repeat an id with other texts are linked by every one of them, and have one component.
+    A null id is its own component, null, and kept. An empty table gives an empty result.
     """
     spark, since = docs.sparkSession, mark(docs.sparkSession)
     prints = settle(fingerprints(docs, key, text, width), "prints")
     full = prints.where("n > 0 and id is not null")
+    sets_of = F.struct("n", "d0", "d1")
+    if not full.groupBy("id").agg((F.min(sets_of) != F.max(sets_of)).alias("torn")).where("torn").isEmpty():
+        return _of_rows(docs, key, text, width, percent, cap)
     member = settle(_classes(full, prints.count()), "classes")
     heads = member.where("id = class").select("id")
     head_rows = full.join(heads, "id", "left_semi").select("id", "n", "values").dropDuplicates(["id"])
