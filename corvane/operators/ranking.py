@@ -47,3 +47,23 @@ def reselect(members: DataFrame, query: str = "query_id", family: str = "family"
     """Adds place within the family: by ce_score (null last), suitability, rank, key. Family scores and ranks are not touched."""
     order = Window.partitionBy(query, family).orderBy(F.coalesce("ce_score", F.lit(-1e9)).desc(), F.col("suitability").desc(), "rank", key)
     return members.withColumn("place", F.row_number().over(order))
+
+
+def mixture(scores: DataFrame, weight: float = 0.6, temperature: float = 0.05, field_weight: float | None = None, query: str = "query_id") -> DataFrame:
+    """scores (query, …, first, second[, p_field]) with log_p and p: a geometric mixture of the softmaxes of two spaces, and of a field expert's probabilities, made to sum to one.
+
+    Sums and maxima of a request are taken by aggregation and joined, so a request's rows need not meet in one task.
+    """
+    t = F.lit(temperature)
+    top = scores.groupBy(query).agg(F.max("first").alias("_a"), F.max("second").alias("_b"))
+    x = scores.join(top, query).withColumns({"_x": (F.col("first") - F.col("_a")) / t, "_y": (F.col("second") - F.col("_b")) / t})
+    sums = x.groupBy(query).agg(F.log(F.sum(F.exp("_x"))).alias("_lx"), F.log(F.sum(F.exp("_y"))).alias("_ly"))
+    mixed = weight * (F.col("_x") - F.col("_lx")) + (1 - weight) * (F.col("_y") - F.col("_ly"))
+    if field_weight is not None:
+        mixed = mixed + field_weight * F.log("p_field")
+    y = x.join(sums, query).withColumn("_m", mixed)
+    best = y.groupBy(query).agg(F.max("_m").alias("_top"))
+    y = y.join(best, query)
+    total = y.groupBy(query).agg(F.log(F.sum(F.exp(F.col("_m") - F.col("_top")))).alias("_z"))
+    y = y.join(total, query).withColumn("log_p", F.col("_m") - F.col("_top") - F.col("_z"))
+    return y.select(*scores.columns, "log_p", F.exp("log_p").alias("p"))

@@ -116,3 +116,14 @@ def write_dataset(scenarios: DataFrame, judgments: DataFrame, splits: DataFrame,
     made = {"schema": SCHEMA_VERSION, "scenarios": corpus_hash(scenarios), "judgments": corpus_hash(judgments), "splits": corpus_hash(splits)}
     scenarios.sparkSession.createDataFrame([(json.dumps(made, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/manifest")
     return made
+
+
+def write_revision(annotations: DataFrame, root: str) -> int:
+    """Writes annotations as the next revision and returns its number. No revision is ever overwritten: where another writer was faster, this one fails."""
+    spark = annotations.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = [int(s.getPath().getName().split("-")[1]) for s in files.listStatus(path) if s.getPath().getName().startswith("revision-")] if files.exists(path) else []
+    number = max(known, default=0) + 1
+    annotations.write.mode("errorifexists").parquet(f"{root}/revision-{number:05d}")
+    return number
