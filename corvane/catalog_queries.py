@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import evaluation, expansion, fusion, prefix, ranking, retrieval
+from corvane.operators import evaluation, expansion, fusion, groups, prefix, ranking, retrieval
 from corvane.sources.catalog import GENERATORS, instances, raw_hits, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,9 +505,7 @@ x AS (SELECT name, term, tf * idf AS w FROM tf JOIN idf USING (term)), nm AS (SE
 def r4_char_tfidf(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     u = retrieval.tfidf(names, "name", retrieval.char_grams(F.col("name")))
-    v = u.toDF("b", "term", "v")
-    x = u.withColumnRenamed("name", "a").join(v, "term").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("weight") * F.col("v")), 6).alias("cosine"))
-    return x.where("cosine >= 0.2")
+    return groups.near_pairs(u, "name", 0.2, 6).withColumnRenamed("similarity", "cosine")
 
 
 COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),

@@ -29,7 +29,7 @@ def near_pairs(weights: DataFrame, key: str, threshold: float, digits: int = 9)
     rare = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     # what a row holds from this term on, squared
     left = 1.0 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare), F.lit(0.0))
-    first = settle(weights.join(df, "term").withColumn("left", left).where(F.col("left") >= threshold * threshold - 1e-9).select(key, "term"))
+    first = settle(weights.join(df, "term").withColumn("left", left).where(F.col("left") >= max(0.0, threshold - 10.0**-digits) ** 2 - 1e-9).select(key, "term"))
     met = first.withColumnRenamed(key, "a").join(first.withColumnRenamed(key, "b"), "term").where("a < b").select("a", "b").distinct()
     x = met.join(weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("u")), "a").join(weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("v")), ["b", "term"])
     return x.groupBy("a", "b").agg(F.round(F.sum(F.col("u") * F.col("v")), digits).alias("similarity")).where(F.col("similarity") >= threshold)

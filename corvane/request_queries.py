@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog_queries import FAMILY, FOLD, INST, SHORT, SINGULAR, TOK, UNION, _families, _scored, _short, _union, query
 from corvane.functions import text as T
-from corvane.operators import confidence, encoded, expansion, rerank, typos
+from corvane.operators import confidence, encoded, expansion, groups, rerank, typos
 from corvane.sources.catalog import GENERATORS, instances, table
 
 _TERM = f"CAST('0x' || left(sha256(t), 8) AS BIGINT) % {encoded.TERMS}"
@@ -281,12 +281,12 @@ def e9_family_ndcg(spark, d):
 @query("""WITH g AS (SELECT DISTINCT name, substr(name, CAST(i AS INT), 3) AS t, count(*) OVER (PARTITION BY name, substr(name, CAST(i AS INT), 3)) AS c FROM (SELECT name, unnest(range(1, length(name) - 1)) AS i FROM (SELECT DISTINCT lower(p_name) AS name FROM part))), n AS (SELECT name, sqrt(sum(c * c)) AS n FROM g GROUP BY 1)
 SELECT a.name AS a, b.name AS b, round(sum(a.c * b.c) / (any_value(x.n) * any_value(y.n)), 6) AS cosine FROM g a JOIN g b ON a.t = b.t AND a.name < b.name JOIN n x ON x.name = a.name JOIN n y ON y.name = b.name GROUP BY 1, 2 HAVING round(sum(a.c * b.c) / (any_value(x.n) * any_value(y.n)), 6) >= 0.5""")
 def j12_p22_trigram_join(spark, d):
-    """Pairs of titles by the cosine of their trigram counts: an inverted-index self-join."""
+    """Pairs of titles by the cosine of their trigram counts: only titles that share one of their rarest trigrams meet."""
     names = table(spark, d, "part").select(F.lower("p_name").alias("a")).distinct().where(F.length("a") >= 3)
     g = names.select("a", F.explode(F.transform(F.sequence(F.lit(1), F.length("a") - 2), lambda i: F.substring(F.col("a"), i, F.lit(3)))).alias("t")).groupBy("a", "t").agg(F.count(F.lit(1)).alias("c"))
     g = g.join(g.groupBy("a").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n")), "a").select("a", "t", "c", "n")
-    x = g.join(g.toDF("b", "t", "c2", "n2"), "t").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("c") * F.col("c2")) / (F.first("n") * F.first("n2")), 6).alias("cosine"))
-    return x.where("cosine >= 0.5")
+    weights = g.select("a", F.col("t").alias("term"), (F.col("c") / F.col("n")).alias("weight")).withColumnRenamed("a", "name")
+    return groups.near_pairs(weights, "name", 0.5, 6).withColumnRenamed("similarity", "cosine")
 
 
 @query("WITH f AS (SELECT lower(p_name) AS family, p_partkey AS id, p_brand, p_type, count(*) OVER (PARTITION BY lower(p_name)) AS n FROM part) SELECT id, family, 'sibling' AS archetype, family || ' for ' || lower(p_brand) AS text FROM f WHERE n > 1 UNION ALL SELECT id, family, 'negation', family || ' without ' || lower(p_type) FROM f WHERE id % 3 = 0 UNION ALL SELECT id, family, 'short', string_split(family, ' ')[1] FROM f WHERE id % 5 = 0 UNION ALL SELECT id, family, 'multi_intent', family || ' and then ' || lower(p_type) FROM f WHERE id % 7 = 0")
