@@ -107,6 +107,7 @@ def q3_structural_suppression(spark, d):
     return s.withColumn("suppressed", F.coalesce(F.max("b").over(earlier) >= F.col("b"), F.lit(False)))
 
 
+#: Words of freshness, in order.
 _FRESH = ("current", "today", "latest", "month", "year", "week", "day", "now")
 
 

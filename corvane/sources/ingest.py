@@ -42,7 +42,7 @@ REQUIRED = ("report_name",)
 #: The header is the third physical row, so data start at the fourth.
 FIRST_DATA_ROW = 4
 FIELD = "struct<business_object:string,field_name:string,description:string,field_key:string,match_confidence:double,ambiguity_status:string>"
-#: Columns that never reach a search view.
+#: Columns that never reach a search view.
 SENSITIVE = ("available_usage", "owner", "created_by", "last_run_by")
 
 
