@@ -1,4 +1,4 @@
-"""Requests in batch: phrases found by first word and then by all words, context gates, requirement tiers, reserved short forms, expanded texts."""
+"""Requests in batch: phrases found by their first two words and then by all, context gates, requirement tiers, reserved short forms, expanded texts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.settled import settle
 
 #: Words around a mention that tell how much it is wanted.
 REQUIRED_WORDS = ("including", "include", "containing", "contains", "require", "required")
@@ -16,6 +17,8 @@ GROUPING_PHRASES = ("grouped by", "broken down by", "split by", "for each", "fil
 REQUEST_WORDS = ("with", "show", "showing", "need", "needs")
 BOUNDARIES = ("but", "then", "also")
 MOST_REQUIRED = 4
+#: Phrases of a lexicon that each task may hold.
+BOOK = 100_000
 #: Reserved short forms, what they stand for, and those that hold in any case.
 RESERVED = {
     "TA": ("Time Away", "topic"),
@@ -40,22 +43,39 @@ TA_AWAY = ("away", "leave", "absence", "time", "pto")
 
 def variants(word: Column) -> Column:
     """Forms of a word that a phrase may hold: itself, its singular, and with an s where it has more than three letters."""
-    return F.array_distinct(F.concat(F.array(word, T.singular(word)), F.when(F.length(word) > 3, F.array(F.concat(word, F.lit("s")))).otherwise(F.array().cast("array<string>"))))
+    return variants_of(word, T.singular(word))
+
+
+def variants_of(word: Column, singular: Column) -> Column:
+    more = F.when(F.length(word) > 3, F.array(F.concat(word, F.lit("s")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(word, singular), more))
 
 
 def find_phrases(requests: DataFrame, phrases: DataFrame) -> DataFrame:
     """(query_id, start, end, phrase, …, morphological): every occurrence of every phrase, nested ones too.
 
-    requests: (query_id, words); phrases: (phrase, words, …). An equi-join on the first word's forms, then all words are
-    compared in place, so work is that of occurrences of first words, not of requests times phrases. A phrase without
-    words occurs nowhere. Rows repeat as phrases do.
+    requests: (query_id, words); phrases: (phrase, words, …). An equi-join on the forms of the first two words (of one, where a
+    phrase has no more), then all words are compared in place, so work is that of occurrences of pairs of words, not of requests
+    times phrases; the forms of a request's words are made once. A lexicon of up to BOOK phrases goes to every task, so that no
+    common word is one task's; a larger one is met by a shuffle. A phrase without words occurs nowhere. Rows repeat as phrases do.
     """
-    at = requests.select("query_id", "words", F.posexplode("words").alias("start", "first")).withColumn("first", F.explode(variants(F.col("first"))))
-    book = phrases.where(F.size("words") > 0).withColumnRenamed("words", "p").withColumn("first", F.col("p")[0])
-    x = at.join(book, "first").withColumn("span", F.slice("words", F.col("start") + 1, F.size("p"))).where("size(span) = size(p)")
-    pairs = F.zip_with("span", "p", lambda w, p: F.struct(F.array_contains(variants(w), p).alias("fits"), (w == p).alias("same")))
-    x = x.withColumn("m", pairs).where(F.forall("m", lambda v: v["fits"]))
-    return x.select("query_id", "start", (F.col("start") + F.size("p")).alias("end"), F.exists("m", lambda v: ~v["same"]).alias("morphological"), *[c for c in phrases.columns if c != "words"])
+    spark = requests.sparkSession
+    book = settle(phrases.where(F.size("words") > 0).withColumnRenamed("words", "p").withColumns({"first": F.col("p")[0], "second": F.coalesce(F.get("p", F.lit(1)), F.lit(""))}))
+    if book.count() <= BOOK:
+        book = F.broadcast(book)
+    # a column of its own by a shuffle, since a short file is one task's and forms take most of the time
+    spread = requests.select("query_id", "words").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    # spelled out over the array, so that each word is folded once
+    folded = F.transform("words", lambda w: F.struct(w.alias("w"), T.fold(w).alias("v")))
+    forms = F.transform(folded, lambda s: variants_of(s["w"], T.singular_of(s["v"])))
+    at = spread.select("query_id", "words", forms.alias("forms"))
+    at = at.select("query_id", "words", "forms", F.posexplode("forms").alias("start", "f"))
+    seconds = F.concat(F.array(F.lit("")), F.coalesce(F.get("forms", F.col("start") + 1), F.array().cast("array<string>")))
+    at = at.withColumn("first", F.explode("f")).withColumn("second", F.explode(F.array_distinct(seconds))).drop("f")
+    x = at.join(book, ["first", "second"]).where(F.col("start") + F.size("p") <= F.size("words"))
+    fits = F.forall(F.zip_with(F.slice("forms", F.col("start") + 1, F.size("p")), "p", lambda f, p: F.array_contains(f, p)), lambda v: v)
+    same = F.slice("words", F.col("start") + 1, F.size("p")) == F.col("p")
+    return x.where(fits).select("query_id", "start", (F.col("start") + F.size("p")).alias("end"), (~same).alias("morphological"), *[c for c in phrases.columns if c != "words"])
 
 
 def context_holds(words: Column, start: Column, end: Column, window: Column, any_of: Column, none_of: Column) -> Column:
