@@ -63,6 +63,21 @@ def negatives(targets: DataFrame, pool: DataFrame, k: int, seed: str, rounds: in
     return found.withColumn("turn", (F.row_number().over(w) - 1).cast("int")).where(F.col("turn") < k)
 
 
+def co_absent(holdings: DataFrame, least: int = 20) -> DataFrame:
+    """(field, absent, together): every field of at least so many instances, the number of other such fields that no instance has beside it, and those that some has, in order.
+
+    holdings: (field, id). Pairs apart are nearly all there are, so those together are counted and listed: work is that of pairs within instances.
+    """
+    held = holdings.where("field is not null and id is not null").select("field", "id").distinct()
+    common = settle(held.groupBy("field").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least).select("field"))
+    n = common.count()
+    held = settle(held.join(common, "field", "left_semi"))
+    beside = held.join(held.withColumnRenamed("field", "other"), "id").where("field <> other").groupBy("field").agg(F.sort_array(F.collect_set("other")).alias("together"))
+    none = F.array().cast(f"array<{holdings.schema['field'].dataType.simpleString()}>")
+    x = common.join(beside, "field", "left").withColumn("together", F.coalesce("together", none))
+    return x.select("field", (F.lit(n - 1) - F.size("together")).cast("long").alias("absent"), "together")
+
+
 def co_absent_pairs(holdings: DataFrame, limit: int, seed: str, least: int = 20, attempts: int = 200) -> DataFrame:
     """(a, b, turn): the first `limit` different pairs of fields of at least so many instances, in a sequence of draws, that no instance has together; at most attempts * limit draws.
 

@@ -28,14 +28,19 @@ def j15_negatives(spark, d):
     return scenarios.negatives(part, part.where("p_size % 5 > 0"), 4, SEED)
 
 
-_ORDERS = 300
+@query("""WITH v AS (SELECT l_partkey AS f, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1 HAVING df >= 20), h AS (SELECT DISTINCT l_partkey AS f, l_orderkey AS o FROM lineitem WHERE l_partkey IN (SELECT f FROM v)),
+co AS (SELECT DISTINCT x.f AS a, y.f AS b FROM h x JOIN h y ON x.o = y.o AND x.f <> y.f), per AS (SELECT a, count(*) AS n, list(b ORDER BY b) AS bs FROM co GROUP BY 1)
+SELECT f AS field, (SELECT count(*) FROM v) - 1 - coalesce(n, 0) AS absent, coalesce(bs, []) AS together FROM v LEFT JOIN per ON a = f""")
+def y5_co_absent_pairs(spark, d):
+    """All pairs of common fields (parts) that no instance (order) has together, one row a field: its pairs are all other common fields but those listed."""
+    return scenarios.co_absent(_holdings(spark, d))
 
 
-@query(f"""WITH v AS (SELECT l_partkey AS f, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1 HAVING df >= 20), p AS MATERIALIZED (SELECT f, row_number() OVER (ORDER BY f) - 1 AS place, count(*) OVER () AS n FROM v), s AS (SELECT turn, {_draw("'left'", 'turn', '(SELECT any_value(n) FROM p)')} AS p, {_draw("'right'", 'turn', '(SELECT any_value(n) FROM p)')} AS q FROM range(0, {4 * _ORDERS}) t(turn)),
-c AS (SELECT least(x.f, y.f) AS a, greatest(x.f, y.f) AS b, min(turn) AS turn FROM s JOIN p x ON x.place = s.p JOIN p y ON y.place = s.q WHERE s.p <> s.q GROUP BY 1, 2) SELECT a, b, turn FROM c WHERE NOT EXISTS (SELECT 1 FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey WHERE l.l_partkey = c.a AND m.l_partkey = c.b) ORDER BY turn, a LIMIT {_ORDERS}""")
-def y5_co_absent_pairs(spark, d):
-    """Drawn pairs of common fields (parts) that no instance (order) has together; a few hundred are the feature."""
-    return scenarios.co_absent_pairs(table(spark, d, "lineitem").select(F.col("l_partkey").alias("field"), F.col("l_orderkey").alias("id")), _ORDERS, SEED)
+def _holdings(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("field"), F.col("l_orderkey").alias("id"))
+
+
+_DRAWN = 300
 
 
 def _said(spark, d):
@@ -112,7 +117,7 @@ def _archetypes(spark, d):
     out.append(made(two, "multi_intent_split", F.concat_ws(" and then ", "title", "second"), 2, family, F.array(grade(F.col("id"), 2), grade(F.col("negative"), 2))))
     word = F.get(F.array(*map(F.lit, scenarios.RESERVED)), draw(SEED, F.col("id"), 7, len(scenarios.RESERVED)).cast("int"))
     out.append(made(inst, "no_answer_reserved", F.concat_ws(" ", word, F.lit("readings of"), "title"), 0, F.concat(F.lit("reserved-"), (F.col("id") % 8).cast("string")), none))
-    apart = y5_co_absent_pairs(spark, d).withColumn("id", F.col("turn"))
+    apart = scenarios.co_absent_pairs(_holdings(spark, d), _DRAWN, SEED).withColumn("id", F.col("turn"))
     out.append(made(apart, "no_answer_impossible_combo", F.concat(F.lit("a report with both part "), F.col("a").cast("string"), F.lit(" and part "), F.col("b").cast("string")), 0, F.concat(F.lit("impossible-"), (F.col("turn") % 8).cast("string")), none, fields=F.array(F.col("a").cast("string"), F.col("b").cast("string"))))
     return scenarios.union_all(out)
 
