@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import retrieval
 
 TERMS = 1 << 20
 LEAST_WEIGHT = 0.01
@@ -48,7 +50,31 @@ def max_sim(query: Column, doc: Column) -> Column:
     return F.when(F.size(d) == 0, 0.0).otherwise(F.aggregate(best, F.lit(0.0), lambda s, x: s + x))
 
 
+def max_sim_all(vectors: DataFrame, queries: DataFrame, key: str, query: str, width: int, digits: int = 6) -> DataFrame:
+    """(query, key, score) of every vector v with every query's but the one of its own id: `max_sim` of their tokens of the given width.
+
+    Whole vectors of the greatest length meet in blocks of products; the few others, with nulls or of other lengths, meet by `max_sim` itself.
+    """
+    n = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    whole = F.coalesce((F.size("v") == n) & ~F.exists("v", lambda x: x.isNull()), F.lit(False)) & F.lit(n > 0 and n % width == 0)
+    v, q = vectors.select(key, "v", whole.alias("whole")), queries.select(query, "v", whole.alias("whole"))
+
+    def measure(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        out, rows = np.zeros((len(m), len(d))), max(1, (1 << 22) // max(1, len(m) * (n // width)))
+        for at in range(0, len(d), rows):
+            tokens = d[at : at + rows].reshape(-1, width)
+            for i in range(0, n, width):
+                out[:, at : at + rows] += (m[:, i : i + width] @ tokens.T).reshape(len(m), -1, n // width).max(axis=2)
+        return out
+
+    near = retrieval.similar(v.where("whole"), key, q.where("whole"), query, digits, measure).where(F.col(key) != F.col(query)).select(query, key, "score")
+    tokens = lambda x, name: x.withColumn(name, vector_tokens(F.col("v"), width)).drop("v")
+    odd = lambda a, b: tokens(a, "_t").drop("whole").join(tokens(b, "_q").drop("whole"), F.col(key) != F.col(query)).select(query, key, F.round(max_sim(F.col("_q"), F.col("_t")), digits).alias("score"))
+    return near.unionByName(odd(v.where("not whole"), q)).unionByName(odd(v.where("whole"), q.where("not whole")))
+
+
 def vector_tokens(v: Column, width: int) -> Column:
     """A vector cut into tokens of the given width, as doubles."""
     v = v.cast("array<double>")
-    return F.transform(F.sequence(F.lit(1), F.size(v), F.lit(width)), lambda i: F.slice(v, i, F.lit(width)))
+    tokens = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(width)), lambda i: F.slice(v, i, F.lit(width)))
+    return F.when(F.size(v) == 0, F.array().cast("array<array<double>>")).otherwise(tokens)
