@@ -69,3 +69,24 @@ def test_rare_and_frequent_terms_score_alike(spark, sides, monkeypatch):
         monkeypatch.setattr(meeting, "FREQUENT", most)
         scores.append(meeting._by_terms(*t)(0, len(a)))
     assert abs(scores[0] - scores[1]).max() < 1e-12 and abs(scores[0] - scores[2]).max() < 1e-12 and scores[0].max() > 0
+
+
+def test_the_best_of_each_part_hold_the_best_of_all(spark):
+    from corvane.operators import retrieval
+
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(i, [float(rng.randrange(-2, 3)) for _ in range(3)] + [1.0]) for i in range(400)], "id long, v array<double>")
+    queries = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v")
+    every, few = retrieval.similar(vectors, "id", queries, "query_id"), retrieval.similar(vectors, "id", queries, "query_id", most=9)
+    assert few.count() <= 8 * 9 * spark.sparkContext.defaultParallelism < every.count()
+    best = [sorted(map(tuple, retrieval.top(x, ["query_id"], "id", 9).collect())) for x in (every, few)]
+    assert best[0] == best[1] and len(best[0]) == 72
+
+
+def test_a_common_word_is_a_hit_though_its_score_is_nothing(spark):
+    from corvane.operators import retrieval
+
+    rows = spark.createDataFrame([(i, [(1, 1e-9), (2, float(i))] if i else [(1, 1e-9)]) for i in range(5)] + [(9, [(3, 1.0)])], f"id long, terms {LIST}")
+    asked = spark.createDataFrame([(1, [(1, 1.0)]), (2, [(2, 1.0), (1, 1.0)])], f"query_id long, terms {LIST}")
+    got = sorted(map(tuple, retrieval.best_by_terms(rows, asked, "id", "query_id", "terms", 2).collect()))
+    assert got == [(1, 0, 0.0), (1, 1, 0.0), (2, 3, 3.0), (2, 4, 4.0)]
