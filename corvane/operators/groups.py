@@ -12,27 +12,65 @@ from fractions import Fraction
 from itertools import pairwise
 from math import lcm
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import prefix, retrieval
+from corvane.operators import meeting, prefix, retrieval
 from corvane.sources.settled import settle
 
+SHORT, BLOCK = 512, 4096  # rows of a term that meet with those of other terms, rows of a block
+
 
 def near_pairs(weights: DataFrame, key: str, threshold: float, digits: int = 9) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs of rows of length one whose cosine reaches the threshold.
 
     Terms are taken from the rarest on until what is left of a row is shorter than the threshold; a pair that reaches it shares one of these
-    first terms, so only they are met, and frequent terms hardly ever are.
+    first terms, so only they are met, and frequent terms hardly ever are. Rows of a term meet in blocks of at most about BLOCK as matrices
+    (`meeting._by_terms`), and only pairs that reach the threshold leave a task.
     """
     df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy(key).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     # what a row holds from this term on, squared
     left = 1.0 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare), F.lit(0.0))
     first = settle(weights.join(df, "term").withColumn("left", left).where(F.col("left") >= max(0.0, threshold - 10.0**-digits) ** 2 - 1e-9).select(key, "term"))
-    met = first.withColumnRenamed(key, "a").join(first.withColumnRenamed(key, "b"), "term").where("a < b").select("a", "b").distinct()
-    x = met.join(weights.select(F.col(key).alias("a"), "term", F.col("weight").alias("u")), "a").join(weights.select(F.col(key).alias("b"), "term", F.col("weight").alias("v")), ["b", "term"])
-    return x.groupBy("a", "b").agg(F.round(F.sum(F.col("u") * F.col("v")), digits).alias("similarity")).where(F.col("similarity") >= threshold)
+    lists = settle(first.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = -(-(lists.where(F.col("n") <= SHORT).agg(F.sum("n")).first()[0] or 0) // BLOCK) or 1
+    short = F.col("n") <= SHORT
+    # short lists of many terms meet together, a long one alone in as many blocks as it needs
+    x = first.join(lists, "term").select(
+        F.col(key).alias("k"), F.when(short, F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("string")).otherwise(F.concat(F.lit("="), "term")).alias("g"), F.when(short, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("c"),
+    ).distinct()
+    x = x.withColumn("own", F.pmod(F.xxhash64("k"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    x = x.select("k", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    terms = settle(df.select("term").withColumn("t", F.monotonically_increasing_id()))
+    said = weights.join(terms, "term").groupBy(F.col(key).alias("k")).agg(F.collect_list(F.struct("t", F.col("weight").alias("w"))).alias("v"))
+    type_ = weights.schema[key].dataType.simpleString()
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k").combine_chunks()
+        alone = t.column("i")[0] == t.column("j")[0]
+        left = t if alone else t.filter(pc.equal(t.column("own"), t.column("i")))
+        right = t if alone else t.filter(pc.equal(t.column("own"), t.column("j")))
+        a, b, s = [], [], []
+        if left.num_rows and right.num_rows:
+            scores = meeting._by_terms(left.column("v"), right.column("v"))
+            for at in range(0, left.num_rows, meeting.TILE):
+                m = scores(at, min(at + meeting.TILE, left.num_rows))
+                p, q = np.nonzero(m >= threshold - 10.0**-digits)
+                if alone:
+                    p, q = p[q > p + at], q[q > p + at]
+                a.append(p + at)
+                b.append(q)
+                s.append(m[p, q])
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return pa.table({"a": left.column("k").take(pa.array(whole(a, np.int64), pa.int64())), "b": right.column("k").take(pa.array(whole(b, np.int64), pa.int64())), "s": pa.array(whole(s, float), pa.float64())})
+
+    met = x.join(said, "k").groupBy("g", "i", "j").applyInArrow(meet, f"a {type_}, b {type_}, s double")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("s", digits).alias("similarity")).where(F.col("similarity") >= threshold)
+    return met.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def leaders(items: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
