@@ -121,18 +121,24 @@ def with_typo(x: DataFrame, key: str, text: str, vocabulary: DataFrame, stop: Se
     vocabulary: (word). Words in order, each at up to four inner places in a drawn order; the first edit that isn't a known word is made, by an anti-join of all edits.
     """
     words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z][A-Za-z0-9]*"), 0), lambda w: (F.length(w) >= LEAST_LETTERS) & ~F.lower(w).isin(*stop))))
-    tried = x.select(key, F.posexplode(words).alias("_w", "word")).withColumn("low", F.lower("word"))
-    inner = F.sequence(F.lit(1), F.length("low") - 2)
-    places = F.transform(F.slice(F.array_sort(F.transform(inner, lambda i: F.struct(F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("low"), i.cast("string")), "UTF-8")).alias("h"), i.alias("i")))), 1, POSITIONS), lambda s: s.i)
-    cut = lambda a, n: F.substring(F.col("low"), a, n)
-    rest = lambda a: F.substring(F.col("low"), a, F.length("low"))
-    edits = F.posexplode(F.flatten(F.transform("_places", lambda i: F.array(F.concat(cut(F.lit(1), i), cut(i + 2, F.lit(1)), cut(i + 1, F.lit(1)), rest(i + 3)), F.concat(cut(F.lit(1), i + 1), rest(i + 1)))))).alias("_e", "edit")
-    tried = tried.withColumn("_places", places).select(key, "_w", "word", "low", edits).where("edit <> low and edit <> word")
+
+    def edits(word: Column) -> Column:
+        low = F.lower(word)
+        inner = F.sequence(F.lit(1), F.length(word) - 2)
+        places = F.transform(F.slice(F.array_sort(F.transform(inner, lambda i: F.struct(F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), low, i.cast("string")), "UTF-8")).alias("h"), i.alias("i")))), 1, POSITIONS), lambda s: s.i)
+        cut = lambda a, n: F.substring(low, a, n)
+        rest = lambda a: F.substring(low, a, F.length(word))
+        made = F.flatten(F.transform(places, lambda i: F.array(F.concat(cut(F.lit(1), i), cut(i + 2, F.lit(1)), cut(i + 1, F.lit(1)), rest(i + 3)), F.concat(cut(F.lit(1), i + 1), rest(i + 1)))))
+        return F.transform(F.filter(made, lambda e: (e != low) & (e != word)), lambda e: F.struct(word.alias("word"), e.alias("edit")))
+
+    # edits are numbered in order and made again where one is taken: only numbers are gathered by row, in no sort of all edits
+    tries = F.flatten(F.transform(words, edits))
+    tried = x.select(key, F.posexplode(F.transform(tries, lambda s: s.edit)).alias("_at", "edit"))
     safe = tried.join(vocabulary.select(F.lower("word").alias("edit")).distinct(), "edit", "left_anti")
-    first = safe.groupBy(key).agg(F.min_by(F.struct("word", "edit"), F.struct("_w", "_e")).alias("_c"))
+    first = safe.groupBy(key).agg(F.min("_at").alias("_at"))
     parts = F.split(F.col(text), F.concat(F.lit(r"\b"), F.col("_c.word"), F.lit(r"\b")), 2)
-    y = x.join(first, key, "left")
-    return y.withColumn(text, F.when(F.col("_c").isNotNull(), F.concat(F.get(parts, F.lit(0)), F.col("_c.edit"), F.get(parts, F.lit(1)))).otherwise(F.col(text))).withColumn("noise", F.coalesce(F.concat_ws("->", "_c.word", "_c.edit"), F.lit(""))).drop("_c")
+    y = x.join(first, key, "left").withColumn("_c", F.get(tries, F.col("_at")))
+    return y.withColumn(text, F.when(F.col("_c").isNotNull(), F.concat(F.get(parts, F.lit(0)), F.col("_c.edit"), F.get(parts, F.lit(1)))).otherwise(F.col(text))).withColumn("noise", F.coalesce(F.concat_ws("->", "_c.word", "_c.edit"), F.lit(""))).drop("_c", "_at")
 
 
 def quota(x: DataFrame, by: str, key: str, seed: str, budget: int) -> DataFrame:
